@@ -27,10 +27,12 @@ from .common import chunks, distinct_per_text, mix, per_text_sum, shingles, stor
 from .components import components
 
 REGISTERS, BAND = 252, 6
-#: Pairs whose signatures agree on a smaller share than this are not verified: six standard errors below 0.8.
-LEAST_ESTIMATE = 0.63
+#: Pairs whose signatures agree on a smaller share than this are not verified: five standard errors below 0.8.
+LEAST_ESTIMATE = 0.674
 #: Members of a bucket that are compared in one block.
-BLOCK = 256
+BLOCK = 512
+#: Bits of the bitmap that goes out before texts are gathered by id (2 MB as a bit each).
+BITMAP = 1 << 24
 #: Elements whose permutations are held at once.
 ELEMENTS = 1 << 16
 
@@ -144,35 +146,66 @@ def _confirm(size: int):
     return run
 
 
-def _pairs_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs of a block: rows of `left`, each against all of `right`, of other components."""
-    for b in batches:
-        got: list[tuple[np.ndarray, np.ndarray]] = []
-        for left, right in zip(b.column("left"), b.column("right"), strict=True):
-            x, y = (_members(s) for s in (left.values, right.values))
-            for k in range(len(x[0])):
-                fine = (x[1][k] != y[1]) & (x[0][k] != y[0]) & (100 * np.minimum(x[2][k], y[2]) >= 80 * np.maximum(x[2][k], y[2]))
-                hit = np.flatnonzero(fine)
-                hit = hit[(y[3][hit] == x[3][k]).mean(1) >= LEAST_ESTIMATE]
-                got.append((np.minimum(x[0][k], y[0][hit]), np.maximum(x[0][k], y[0][hit])))
-        if got:
-            ab = np.unique(np.stack([np.concatenate(z) for z in zip(*got, strict=True)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+def _links_within(size: int):
+    """Links of a block between components: rows of `left`, each against all of `right`. Pairs that the
+    signatures allow are confirmed on the full sets at once, unless their components have met already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: list[tuple[int, int]] = []
+            for left, right in zip(b.column("left"), b.column("right"), strict=True):
+                if not len(left.values) or not len(right.values):
+                    continue
+                (rx, cx, sx, vx, fx), (ry, cy, sy, vy, fy) = (_members(s.values, size) for s in (left, right))
+                nx, ny, met = np.diff(fx), np.diff(fy), {}
+                for k in range(len(rx)):
+                    allowed = np.flatnonzero((cx[k] != cy) & (100 * np.minimum(nx[k], ny) >= 80 * np.maximum(nx[k], ny)))
+                    for y in allowed[(sy[allowed] == sx[k]).mean(1) >= LEAST_ESTIMATE]:
+                        if (p := _root(met, int(cx[k]))) != (q := _root(met, int(cy[y]))):
+                            both = len(np.intersect1d(vx[fx[k] : fx[k + 1]], vy[fy[y] : fy[y + 1]], assume_unique=True))
+                            if 100 * both >= 80 * (nx[k] + ny[y] - both):
+                                met[max(p, q)] = min(p, q)
+                                got.append((min(rx[k], ry[y]), max(rx[k], ry[y])))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _root(above: dict[int, int], x: int) -> int:
+    while x in above:
+        x = above[x]
+    return x
 
 
-def _members(s: pa.Array | None) -> tuple[np.ndarray, ...]:
-    if s is None or not len(s):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, REGISTERS), np.uint8),)
-    return (*(s.field(k).to_numpy() for k in ("rep", "comp", "n_shingles")), np.frombuffer(b"".join(s.field("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS))
+def _members(s: pa.Array, size: int) -> tuple[np.ndarray, ...]:
+    signature = np.frombuffer(b"".join(s.field("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    return s.field("rep").to_numpy(), s.field("comp").to_numpy(), signature, *distinct_per_text(*shingles(words(*utf8(s.field("text"))), size))
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose id is in ids (doc_id), one row each. A bitmap of the ids'
+    hashes, of BITMAP bits at any size of ids, spares the other texts the shuffle."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    bits = ids.groupBy((spot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits")).toPandas()
+    held = np.zeros(BITMAP // 64, np.int64)
+    held[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(held.view(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.unpackbits(shared.value, bitorder="little").view(bool)
+        for b in batches:
+            yield b.filter(pa.array(some[b.column("spot").to_numpy()])).select(["doc_id", "text"])
+
+    some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, text string")
+    return some.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole texts reach the similarity."""
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = stored(texts.join(ends, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return stored(both.mapInArrow(_confirm(size), "a long, b long"), "links")
+    held = stored(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
+    end = lambda k: held.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")).hint("merge")
+    return stored(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(_confirm(size), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -180,51 +213,49 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_sign(size), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    reps = full.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "fp1", "fp2"], "left_semi").dropDuplicates(["rep", "fp1", "fp2"])
+    classes = stored(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = full.withColumnRenamed("doc_id", "rep").join(classes.hint("merge"), ["rep", "fp1", "fp2"], "left_semi").dropDuplicates(["rep", "fp1", "fp2"])
     reps = stored(reps.select("rep", "fp1", "fp2", "n_shingles", "bands", "signature"), "reps")
 
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high")
-    members = stored(spread.join(buckets, "bucket"), "members")
+    members = stored(spread.join(buckets.hint("merge"), "bucket"), "members")
     ends = members.select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end")
     pairs = ends.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     facts = reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     side = lambda k: facts.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
-    tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a long, b long"), "pairs")
+    tested = stored(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").mapInArrow(_close, "a long, b long"), "pairs")
     links = _verified(tested, docs, size)
     labels = components(links)
 
     # buckets of four and more whose members are still apart: all others are settled by their two ends
-    joined = members.where("n > 3").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    joined = members.where("n > 3").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     counts = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     apart = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     apart = apart.select("bucket", F.col("main.comp").alias("main"), (F.col("all") - F.col("main.n")).alias("outside"), "all")
-    rows = stored(joined.select("bucket", "rep", "comp").join(apart, "bucket").join(facts, "rep"), "apart")
+    rows = stored(joined.select("bucket", "rep", "comp").join(apart.hint("merge"), "bucket").join(facts.hint("merge"), "rep"), "apart")
     if not rows.isEmpty():
-        more = _pairs_apart(rows).join(tested, ["a", "b"], "left_anti").distinct()
-        links = links.union(_verified(stored(more, "pairs"), docs, size))
+        texts = _texts(docs, rows.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+        links = links.union(stored(_links_apart(rows.join(texts.hint("merge"), "rep"), size), "links"))
         labels = components(links)
 
-    known = full.select("doc_id", "fp1", "fp2").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    known = full.select("doc_id", "fp1", "fp2").join(classes.hint("merge"), ["fp1", "fp2"]).join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     known = known.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(known, "doc_id", "left")
+    out = signed.select("doc_id", "n_shingles").join(known.hint("merge"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _pairs_apart(rows: DataFrame) -> DataFrame:
-    """Close pairs between components of a bucket, found block by block. The rows outside a bucket's
+def _links_apart(rows: DataFrame, size: int) -> DataFrame:
+    """Links between components of a bucket, found block by block. The rows outside a bucket's
     largest component form left blocks; each meets every right block, of all the bucket's rows."""
     lefts, rights = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("outside", "all"))
-    own = F.struct("rep", "comp", "n_shingles", "signature")
+    own = F.struct("rep", "comp", "signature", "text")
     spot: Column = F.xxhash64("rep", F.lit(7))
-    left = rows.where("comp <> main").select("bucket", F.pmod(spot, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), own.alias("left"), F.lit(None).cast(_OWN).alias("right"))
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(spot, rights).cast("int").alias("r"), F.lit(None).cast(_OWN).alias("left"), own.alias("right"))
+    none = F.lit(None).cast("struct<rep:bigint,comp:bigint,signature:binary,text:string>")
+    left = rows.where("comp <> main").select("bucket", F.pmod(spot, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), own.alias("left"), none.alias("right"))
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(spot, rights).cast("int").alias("r"), none.alias("left"), own.alias("right"))
     blocks = left.unionByName(right).groupBy("bucket", "l", "r").agg(F.collect_list("left").alias("left"), F.collect_list("right").alias("right"))
-    return blocks.select("left", "right").mapInArrow(_pairs_within, "a long, b long")
-
-
-_OWN = "struct<rep:bigint,comp:bigint,n_shingles:bigint,signature:binary>"
+    return blocks.select("left", "right").mapInArrow(_links_within(size), "a long, b long")
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
