@@ -7,18 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op2_near_dedup import op2_near_dedup
+from .op3_quality import op3_quality
 from .op4_bpe import op4_bpe
 from .op5_language_id import op5_language_id
 from .op6_pii import op6_pii
 from .op7_class_lm import op7_class_lm
 from .op8_decontaminate import op8_decontaminate
+from .op9_url_filter import op9_url_filter
+from .op9_url_filter import oracle as op9_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_class_lm": op7_class_lm,
     "op8_decontaminate": op8_decontaminate,
+    "op9_url_filter": op9_url_filter,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filter": op9_oracle()}
