@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_topk import ORACLE as op10_oracle
+from .op10_topk import op10_topk
 from .op2_near_dedup import op2_near_dedup
 from .op3_quality import op3_quality
 from .op4_bpe import op4_bpe
@@ -25,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_class_lm": op7_class_lm,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
+    "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op9_url_filter": op9_oracle()}
+ORACLES: dict[str, str] = {"op9_url_filter": op9_oracle(), "op10_topk": op10_oracle}
