@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op10_topk import ORACLE as op10_oracle
 from .op10_topk import op10_topk
+from .op1_html_text import op1_html_text
 from .op2_near_dedup import op2_near_dedup
 from .op3_quality import op3_quality
 from .op4_bpe import op4_bpe
@@ -19,6 +20,7 @@ from .op9_url_filter import op9_url_filter
 from .op9_url_filter import oracle as op9_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
