@@ -7,6 +7,8 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
@@ -36,6 +38,7 @@ WORDS = [
     r"\b(?:content|article\w*|main|post|entry|story|text|body|prose|page)\b",
 ]
 _WORDS = [re.compile(w) for w in WORDS]
+_TAG_BITS = {t: sum(1 << k for k, group in enumerate(TAGS) if t in group) for group in TAGS for t in group}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 FEATURES = 17 + 3 * len(TAGS) + 2 * len(WORDS)
@@ -157,7 +160,7 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def features(nodes: list[Node]) -> list[list[float]]:
+def features(nodes: list[Node]) -> np.ndarray:
     """A row of FEATURES numbers per node: its own tag and attribute words, those of what it stands in, and how its
     subtree and its siblings are made."""
     n = len(nodes)
@@ -177,54 +180,53 @@ def features(nodes: list[Node]) -> list[list[float]]:
             for total in (chars, links, leaves, marks, inputs, below):
                 total[p] += total[i]
             longest[p] = max(longest[p], longest[i])
-    depth, above_tags, above_words, seen = [0] * n, [0] * n, [0] * n, [0] * n
+    depth, above_tags, above_words, below_tags, seen = ([0] * n for _ in range(5))
+    alike: list[dict[str, int] | None] = [None] * n
+    for i in range(1, n):
+        x = nodes[i]
+        bits = tag_of[i] = _TAG_BITS.get(x.tag, 0)
+        below_tags[x.parent] |= bits
+        same = alike[x.parent]
+        if same is None:
+            same = alike[x.parent] = {}
+        same[x.tag] = same.get(x.tag, 0) + 1
+        if x.attrs:
+            word_of[i] = sum(1 << k for k, w in enumerate(_WORDS) if w.search(x.attrs))
     place = 0
     out = []
     whole = max(1, chars[0])
+    log = math.log1p
     for i, x in enumerate(nodes):
-        for k, group in enumerate(TAGS):
-            if x.tag in group:
-                tag_of[i] = 1 << k
-        if x.attrs:
-            word_of[i] = sum(1 << k for k, w in enumerate(_WORDS) if w.search(x.attrs))
-        parent = nodes[x.parent] if i else x
+        p, order, siblings, same = 0, 1, 1, 1
         if i:
             p = x.parent
             depth[i] = depth[p] + 1
             above_tags[i], above_words[i] = above_tags[p] | tag_of[p], above_words[p] | word_of[p]
             seen[p] += 1
-        order = seen[x.parent] if i else 1
-        siblings = len(parent.children) if i else 1
-        same = sum(nodes[c].tag == x.tag for c in parent.children) if i and siblings <= 64 else siblings
-        p = x.parent if i else 0
-        child_tags = 0
-        for c in x.children[:64]:
-            t = nodes[c].tag
-            for k, group in enumerate(TAGS):
-                if t in group:
-                    child_tags |= 1 << k
-        row = [
-            math.log1p(chars[i]),
-            links[i] / max(1, chars[i]),
-            math.log1p(leaves[i]),
-            math.log1p(chars[i] / max(1, leaves[i])),
-            math.log1p(longest[i]),
-            marks[i] / max(1, chars[i]) * 100,
-            chars[i] / whole,
-            chars[i] / max(1, chars[p]),
-            links[p] / max(1, chars[p]),
-            depth[i],
-            order / siblings,
-            math.log1p(siblings),
-            same / siblings,
-            math.log1p(below[i]),
-            place / whole,
-            inputs[i],
-            math.log1p(chars[p]),
-        ]
+            order, siblings, same = seen[p], len(nodes[p].children), alike[p][x.tag]
+        own, around = chars[i], chars[p] or 1
+        out.append(
+            (
+                log(own),
+                links[i] / (own or 1),
+                log(leaves[i]),
+                log(own / (leaves[i] or 1)),
+                log(longest[i]),
+                marks[i] / (own or 1) * 100,
+                own / whole,
+                own / around,
+                links[p] / around,
+                depth[i],
+                order / siblings,
+                log(siblings),
+                same / siblings,
+                log(below[i]),
+                place / whole,
+                inputs[i],
+                log(chars[p]),
+            )
+        )
         if x.text is not None:
-            place += len(x.text)
-        for bits, many in ((tag_of[i], len(TAGS)), (above_tags[i], len(TAGS)), (child_tags, len(TAGS)), (word_of[i], len(WORDS)), (above_words[i], len(WORDS))):
-            row.extend([bits >> k & 1 for k in range(many)])
-        out.append(row)
-    return out
+            place += own
+    flags = [(np.array(bits)[:, None] >> np.arange(many)) & 1 for bits, many in ((tag_of, len(TAGS)), (above_tags, len(TAGS)), (below_tags, len(TAGS)), (word_of, len(WORDS)), (above_words, len(WORDS)))]
+    return np.hstack([np.array(out), *flags])

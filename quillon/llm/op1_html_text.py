@@ -13,6 +13,7 @@ Empty table: no rows. Clashing further columns are not read.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -195,9 +196,9 @@ def train(pages: int = PAGES, seed: int = 11) -> Trees:
         marks: list[int] = []
         for node in nodes:
             marks.append(int(node.mark) if node.mark else marks[node.parent] if node.parent >= 0 else 1)
-        rows += features(nodes)
+        rows.append(features(nodes))
         labels += marks
-    return boost(np.array(rows), np.array(labels, np.float64))
+    return boost(np.concatenate(rows), np.array(labels, np.float64))
 
 
 def decode(nodes: list[Node], logits: list[float]) -> str:
@@ -206,8 +207,9 @@ def decode(nodes: list[Node], logits: list[float]) -> str:
     keep, drop = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
         x = logits[i]
-        keep[i] += min(0.0, x) - np.log1p(np.exp(-abs(x)))
-        drop[i] += min(0.0, -x) - np.log1p(np.exp(-abs(x)))
+        rest = math.log1p(math.exp(-abs(x)))
+        keep[i] += min(0.0, x) - rest
+        drop[i] += min(0.0, -x) - rest
         if i:
             p = nodes[i].parent
             keep[p] += max(keep[i], drop[i])
@@ -228,7 +230,7 @@ def extract(pages: DataFrame, model: Trees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, "html"):
             parsed = [parse(h or "") for h in piece.column("html").to_pylist()]
-            logits = shared.value.logits(np.array([row for nodes in parsed for row in features(nodes)])).tolist()
+            logits = shared.value.logits(np.concatenate([features(nodes) for nodes in parsed])).tolist()
             texts, at = [], 0
             for nodes in parsed:
                 texts.append(decode(nodes, logits[at : at + len(nodes)]))
