@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import agents, cache, quality, records, retrieval, telemetry, text
+from .registry import Query
 
 FLAGSHIP = "retrieval_metrics"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _plan in (retrieval, quality, cache, telemetry, text, records, agents):
+    QUERIES |= _plan.plans.queries
+    ORACLES |= _plan.plans.oracles
