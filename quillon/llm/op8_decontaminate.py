@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Seeds are the three-word shingles of the benchmark items. A first scan counts in how many documents
-each seed occurs; an item keeps its seeds that at most one document in a thousand holds, its eight
-rarest in any case, and those little more frequent than its eighth, so that an item that a third of
-the corpus copies is still found. A second scan finds the
+Seeds are the three-word shingles of the benchmark items. A first scan counts how many documents hold
+a seed by chance, that is with fewer than SUPPORT different seeds of the item; copies, even of a third of the
+corpus, so make no seed frequent. An item keeps its seeds that at most one document in a thousand holds by chance, its
+eight rarest in any case, and those little more frequent than its eighth. A second scan finds the
 documents that hold two different kept seeds of an item (one, if the item keeps fewer than five) and
 aligns the item with every stretch of the whole text around such hits. A document is contaminated by
 an item if the alignment reaches half of the score of a verbatim copy (match 2, mismatch and gap -1).
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import chunks, shingles, table, utf8, words
 
 SEED = 3
-RARE_SHARE, RAREST = 0.001, 8
+RARE_SHARE, RAREST, SUPPORT = 0.001, 8, 4
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 1 << 18
@@ -50,13 +50,18 @@ class _Items:
         self.keep(np.ones(len(seeds), bool), seeds, item, place)
 
     def keep(self, which: np.ndarray, seeds: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
-        order = np.argsort(seeds[which], kind="stable")
+        order = np.lexsort((place[which], item[which], seeds[which]))
         self.seeds, self.item, self.place = (x[which][order] for x in (seeds, item, place))
+        #: For each entry the first one of the same seed and item; only those count as different seeds of the item.
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (self.seeds[1:] != self.seeds[:-1]) | (self.item[1:] != self.item[:-1])
+        self.kind = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        self.support = np.clip(np.bincount(self.item[fresh], minlength=len(self.ids)) // 2, 2, SUPPORT)
         self.known = np.zeros(1 << _BITS, bool)
         self.known[self.seeds >> np.uint64(64 - _BITS)] = True
 
     def rare(self, counts: dict[int, int], documents: int) -> None:
-        df = np.array([counts.get(int(s), 0) for s in self.seeds.view(np.int64)], np.int64)
+        df = np.array([counts.get(int(k), 0) for k in self.kind], np.int64)
         order = np.lexsort((self.place, df, self.item))
         starts = np.searchsorted(self.item[order], np.arange(len(self.ids)))
         rank = np.empty(len(order), np.int64)
@@ -74,20 +79,26 @@ class _Items:
         place[place == len(self.seeds)] = 0
         return at[self.seeds[place] == found[at]] if len(self.seeds) else at[:0]
 
+    def entries(self, found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, text and entry of each occurrence of a seed; a seed of several items has an entry for each."""
+        at = self.hits(found)
+        low, high = (np.searchsorted(self.seeds, found[at], side) for side in ("left", "right"))
+        many = high - low
+        entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(at, many), np.repeat(np.searchsorted(first, at, "right") - 1, many), entry
+
 
 def _count(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
-        distinct = np.unique(own.seeds)
-        counts = np.zeros(len(distinct), np.int64)
+        counts = np.zeros(len(own.seeds), np.int64)
         for piece in chunks(batches, "text"):
-            found, first = shingles(words(*utf8(piece.column("text"))), SEED)
-            at = own.hits(found)
-            doc = np.searchsorted(first, at, "right")
-            both = np.unique(doc * max(1, len(distinct)) + np.searchsorted(distinct, found[at]))
-            counts += np.bincount(both % max(1, len(distinct)), minlength=len(distinct))
-        some = counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[some].view(np.int64)), pa.array(counts[some])], names=["seed", "n"])
+            _, doc, entry = own.entries(*shingles(words(*utf8(piece.column("text"))), SEED))
+            doc, kind = np.divmod(np.unique(doc * max(1, len(counts)) + own.kind[entry]), max(1, len(counts)))
+            _, back, n = np.unique(doc * max(1, len(own.ids)) + own.item[kind], return_inverse=True, return_counts=True)
+            counts += np.bincount(kind[n[back] < own.support[own.item[kind]]], minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["entry", "n"])
 
     return run
 
@@ -117,13 +128,9 @@ def _found(own: _Items, texts: pa.Array) -> dict[tuple[int, int], tuple[float, i
     """By text and item, both as positions: the alignments that reach the least score."""
     w = words(*utf8(texts))
     found, first = shingles(w, SEED)
-    at = own.hits(found)
-    low, high = (np.searchsorted(own.seeds, found[at], side) for side in ("left", "right"))
-    many = high - low
-    seed = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    doc = np.repeat(np.searchsorted(first, at, "right") - 1, many)
+    at, doc, seed = own.entries(found, first)
     item = own.item[seed]
-    diagonal = np.repeat(at, many) - first[doc] - own.place[seed]
+    diagonal = at - first[doc] - own.place[seed]
     order = np.lexsort((diagonal, item, doc))
     doc, item, seed, diagonal = doc[order], item[order], seed[order], diagonal[order]
     edges = np.flatnonzero(np.diff(doc) | np.diff(item)) + 1
@@ -185,8 +192,8 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[_Items]:
         own = _Items([r[0] for r in rows], [r[1] for r in rows])
         if len(own.ids):
             documents = docs.count() if documents is None else documents
-            seeds = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(own)), "seed long, n long")
-            own.rare(dict(seeds.groupBy("seed").agg(F.sum("n").alias("n")).collect()), documents)
+            seeds = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(own)), "entry long, n long")
+            own.rare(dict(seeds.groupBy("entry").agg(F.sum("n").alias("n")).collect()), documents)
             yield own
 
 
