@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-PAGE, LEAF, FAN = 4096, 64, 16
+PAGE, LEAF, FAN = 4096, 256, 16
 QUERIES = 8192
 FOUND = "query_id long, vec_id long, score long"
 

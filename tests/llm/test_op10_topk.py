@@ -25,6 +25,8 @@ def test_table(spark, sf):
 
 def test_ties_and_pages(spark, monkeypatch):
     monkeypatch.setattr(op10, "PAGE", 100)
+    monkeypatch.setattr(op10, "LEAF", 8)
+    monkeypatch.setattr(op10, "FAN", 4)
     monkeypatch.setattr(op10, "QUERIES", 3)
     r = np.random.default_rng(4)
     rows = [(int(k), [float(x) for x in r.integers(-3, 4, 6) / 8]) for k in range(700)]
