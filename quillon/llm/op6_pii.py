@@ -1,12 +1,14 @@
 """Personal data: base patterns, and terms that reveal them, found by corpus co-occurrence.
 
 Base spans are found by four patterns; spans that fail their kind's test are dropped. Every value is a
-protected entity. Terms are runs of three or more letters. For each term t within WINDOW characters of
-an entity e, co counts the documents where both stand so, df the documents that hold t (or e) at all, over the
-whole corpus. t discloses e if at least LEAST_SUPPORT documents support it, at least LEAST_SHARE of
-the documents with t have it beside e, and it carries log2(co * N / (df(t) * df(e))) >= LEAST_BITS
-of information about e. Such occurrences of t become spans of kind `term`. In sanitised texts base
-spans are generalised to the name of their kind; terms are generalised to [TERM], or removed from REMOVE_BITS on.
+protected entity. Terms are runs of three or more letters. An entity is estimated at three levels, so that one seen once
+or twice has an estimate too: its value, its group (domain of an address, network of an IP, issuer of a card, a phone number
+without its last four digits) and its kind. For each term t and level e, co counts the documents that hold both anywhere, df
+those that hold t (or e) at all, over the whole corpus. t discloses e if at least LEAST_SUPPORT documents support it, at least
+LEAST_SHARE of the documents with t hold e, and it carries log2(co * N / (df(t) * df(e))) >= LEAST_BITS
+of information about e; the level that tells most counts. Each occurrence of t outside base spans, in whichever text, becomes
+a span of kind `term`. In sanitised texts base spans are generalised to the name of their kind; terms are
+generalised to [TERM], or removed from REMOVE_BITS on.
 
 All of it is DataFrame and SQL functions. Offsets are code points, ends exclusive.
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
+#: Characters beside an entity within which the tests count plainly; the operator counts over whole documents.
 WINDOW = 48
 LEAST_SUPPORT, LEAST_SHARE, LEAST_BITS, REMOVE_BITS = 3, 0.5, 4.0, 12.0
 KINDS = ["email", "ip", "card", "phone"]
@@ -38,9 +41,9 @@ PATTERNS = {
 _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.(?!$)|$)){4}$"
 
 
-def _found(text: Column, pattern: str) -> Column:
+def _found(text: Column, pattern: str | Column) -> Column:
     """Matches of the pattern: array of (start, end, value)."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    matches, gaps = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -90,55 +93,70 @@ def _named(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
-def _based(docs: DataFrame) -> DataFrame:
-    """doc_id, key, text and base: array of (kind, start, end, value), the kinds in their order."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _based(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, key, text, base: array of (kind, start, end, value), the kinds in their order; and more columns of docs."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
     for kind in KINDS:
         found = found.withColumn(kind, base_spans(F.col("text"), kind))
     spans = F.concat(*[_named(F.col(kind), kind) for kind in KINDS])
-    return found.select("doc_id", F.xxhash64("text").alias("key"), "text", spans.alias("base"))
+    return found.select("doc_id", F.xxhash64("text").alias("key"), "text", spans.alias("base"), *more)
 
 
-def _near() -> Column:
-    """Distinct terms near the base spans of a row: array of (entity, term, start, end)."""
-    text, base = F.col("text"), F.col("base")
+def _levels(s: Column) -> Column:
+    """The value, the group and the kind of a base span, as hashes."""
+    kind, value = s["kind"], F.lower(s["value"])
+    digits = _digits(value)
+    group = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 3))
+    group = group.when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+    return F.array(F.xxhash64(F.lit("value"), kind, value), F.xxhash64(F.lit("group"), kind, group), F.xxhash64(F.lit("kind"), kind))
 
-    def side(s: Column, left: bool) -> Column:
-        begin = F.greatest(F.lit(0), s["start"] - WINDOW) if left else s["end"]
-        cut = F.substring(text, begin + 1, F.when(F.lit(left), s["start"] - begin).otherwise(F.lit(WINDOW)).cast("int"))
-        whole = _found(cut, TERM)
-        # a term that the window's far edge may cut is left out
-        fine = F.filter(whole, lambda t: ((t["start"] > 0) | (begin == 0)) if left else (t["end"] < WINDOW))
-        entity = F.xxhash64(s["kind"], F.lower(s["value"]))
-        return F.transform(fine, lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), (begin + t["start"]).alias("start"), (begin + t["end"]).alias("end")))
 
-    terms = F.flatten(F.transform(base, lambda s: F.concat(side(s, True), side(s, False))))
-    return F.array_distinct(F.filter(terms, lambda t: ~F.exists(base, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))))
+def _forms() -> Column:
+    """Distinct terms of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)))
 
 
-def revealing(docs: DataFrame) -> DataFrame:
-    """Occurrences of terms that disclose an entity beside them: doc_id, key (hash of the text), start, end, bits."""
-    near = stored(_based(docs).where(F.size("base") > 0).select("doc_id", "key", F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))).alias("entities"), _near().alias("near")), "near")
-    # how many documents hold each term or entity, and how many each pair
-    beside = near.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = beside.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= LEAST_SUPPORT)
-    entities = near.select(F.explode(F.array_distinct("entities")).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
+def _terms() -> Column:
+    return F.array_distinct(F.transform(_forms(), F.lower))
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """Terms that disclose an entity, its group or its kind: term and bits."""
+    near = stored(_based(docs).where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), F.array_distinct(F.flatten(F.transform("base", _levels))).alias("levels"), _terms().alias("terms")), "near")
+    # how many documents hold each term or level, and how many each pair; a pair has no more support than its level
+    held = near.select("row", F.explode("levels").alias("level"))
+    levels = held.groupBy("level").agg(F.count("*").alias("df_level")).where(F.col("df_level") >= LEAST_SUPPORT)
+    some = held.join(levels.select("level").hint("merge"), "level").groupBy("row").agg(F.collect_list("level").alias("levels"))
+    beside = some.join(near.select("row", "terms").hint("merge"), "row").select(F.explode("levels").alias("level"), "terms").select("level", F.explode("terms").alias("term"))
+    pairs = beside.groupBy("level", "term").agg(F.count("*").alias("co")).where(F.col("co") >= LEAST_SUPPORT)
+    words = docs.select(F.col("text").cast("string").alias("text")).select(F.explode(_terms()).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("df_term")).where(F.col("df_term") >= LEAST_SUPPORT)
     total = docs.select(F.count("*").alias("n"))
-    bits = F.log2(F.col("co") * F.col("n") / (F.col("df_term").cast("double") * F.col("df_entity")))
-    told = pairs.join(terms.hint("merge"), "term").join(entities.hint("merge"), "entity").crossJoin(F.broadcast(total))  # one row
-    told = told.where(F.col("co") >= LEAST_SHARE * F.col("df_term")).select("entity", "term", bits.alias("bits")).where(F.col("bits") >= LEAST_BITS)
-    places = near.select("doc_id", "key", F.explode("near").alias("t")).select("doc_id", "key", "t.*")
-    return places.join(told.hint("merge"), ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.max("bits").alias("bits"))
+    bits = F.log2(F.col("co") * F.col("n") / (F.col("df_term").cast("double") * F.col("df_level")))
+    told = pairs.join(terms.hint("merge"), "term").join(levels.hint("merge"), "level").crossJoin(F.broadcast(total))  # one row
+    told = told.where(F.col("co") >= LEAST_SHARE * F.col("df_term")).select("term", bits.alias("bits")).where(F.col("bits") >= LEAST_BITS)
+    return told.groupBy("term").agg(F.max("bits").alias("bits"))
+
+
+def revealing(docs: DataFrame) -> DataFrame:
+    """Occurrences of disclosing terms in all texts: doc_id, key (hash of the text) and terms, an array of (kind, start, end, value, bits) in order."""
+    told = stored(disclosing(docs), "told")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    forms = rows.select("doc_id", "key", F.explode(_forms()).alias("form"))
+    held = forms.join(told, F.lower("form") == F.col("term")).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("form", "bits")).alias("forms"))
+    held = stored(held, "held")
+    found = _based(rows.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))), "forms").withColumn("own", F.map_from_entries("forms"))
+    # a form has letters only, so nothing in it is a sign of the pattern; each match is a whole run of letters
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("forms", lambda x: x["form"]), "|"), F.lit(r")(?!\p{L})"))
+    places = F.filter(_found(F.col("text"), pattern), lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    spans = F.transform(places, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("value"), F.col("own")[t["value"]].alias("bits")))
+    return found.select("doc_id", "key", spans.alias("terms")).dropDuplicates(["doc_id", "key"])
 
 
 def _with_terms(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows (doc_id, key, ...) with terms: array of (kind, start, end, value, bits) in order."""
-    term = F.struct(F.lit("term").alias("kind"), "start", "end", F.lit("").alias("value"), "bits")
-    held = revealing(docs).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", term.alias("s")))).alias("terms"))
-    held = held.select("d", "k", F.transform("terms", lambda t: t["s"]).alias("terms"))
-    joined = rows.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
+    held = stored(revealing(docs), "terms").withColumnsRenamed({"doc_id": "d", "key": "k"})
+    joined = rows.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
     return joined.withColumn("terms", F.coalesce("terms", F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int,value:string,bits:double>>)")))
 
 
@@ -162,14 +180,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     rows = docs.select(plain)
     base = F.concat(*[_named(base_spans(F.col("whole.text"), kind), kind) for kind in KINDS])
     rows = rows.withColumn("base", base)
-    clean = rows.where(F.size("base") == 0).select("whole.*")
-    dirty = rows.where(F.size("base") > 0).select("whole", "base", F.col("whole.doc_id").cast("long").alias("doc_id"), F.xxhash64("whole.text").alias("key"))
-    dirty = _with_terms(dirty, docs)
+    text = F.col("whole.text").cast("string")
+    rows = rows.select("whole", "base", F.col("whole.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
+    rows = _with_terms(rows, docs)
     marked = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["bits"] >= REMOVE_BITS, "").otherwise("[TERM]").alias("put"))),
     )
-    text = F.col("whole.text").cast("string")
 
     def put(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -178,9 +195,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     changed = F.aggregate(F.array_sort(marked), start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    dirty = dirty.select("whole", changed.alias("fresh"))
-    own = [F.col("fresh").alias(c) if c == "text" else F.char_length("fresh").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"whole.`{c}`").alias(c) for c in names]
-    return clean.unionByName(dirty.select(*own))
+    dirty = F.size("base") + F.size("terms") > 0
+    rows = rows.select("whole", dirty.alias("dirty"), F.when(dirty, changed).otherwise(text).alias("fresh"))
+    size = F.when(F.col("dirty"), F.char_length("fresh")).otherwise(F.col("whole.n_chars")) if "n_chars" in names else None
+    own = [F.col("fresh").alias(c) if c == "text" else size.cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"whole.`{c}`").alias(c) for c in names]
+    return rows.select(*own)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,18 @@ def test_sanitise(spark):
     assert op6.sanitise(none).count() == 0 and op6.digests(none).count() == 0
 
 
+def test_entities_seen_once(spark):
+    """No address comes twice; their domain tells the terms, far from the address, however written and in any text."""
+    docs = [(k, f"Plain words number{k} without anything personal, just prose about birds.") for k in range(120)]
+    docs += [(200 + k, f"Zorblatt {'prose about birds ' * 20} is at jane{k}@corp.org") for k in range(4)]
+    docs += [(300, "Plain words about birds; ZORBLATT, 😀 zorblatt and Zorblatts.")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("term")] for r in op6.digests(docs).collect()}
+    assert spans[200] == ["term:0:8"] and spans[300] == ["term:25:33", "term:37:45"] and not spans[0]
+    text = {r["doc_id"]: r["text"] for r in op6.sanitise(docs).collect()}
+    assert text[300] == "Plain words about birds; [TERM], 😀 [TERM] and Zorblatts." and "Zorblatt" not in text[203] and "Plain words number5" in text[5]
+
+
 def test_odd_rows(spark):
     docs = odd.documents(spark)
     got = op6.digests(docs).collect()
