@@ -1,14 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Seeds are the three-word shingles of the benchmark items. A first scan counts how many documents hold
-a seed by chance, that is with fewer than SUPPORT different seeds of the item; copies, even of a third of the
-corpus, so make no seed frequent. An item keeps its seeds that at most one document in a thousand holds by chance, its
-eight rarest in any case, and those little more frequent than its eighth. A second scan finds the
-documents that hold two different kept seeds of an item (one, if the item keeps fewer than five) and
-aligns the item with every stretch of the whole text around such hits. A document is contaminated by
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+
+Seeds are the three-word shingles of the benchmark items. A scan finds the documents that hold any
+seed of an item, however frequent, and aligns the item with every stretch of the whole text around such hits. Left out are only
+stretches with too few of the item's words to reach the least score, whatever their order. A document is contaminated by
 an item if the alignment reaches half of the score of a verbatim copy (match 2, mismatch and gap -1).
 
-The benchmark goes out in blocks of at most about BLOCK_WORDS words, one pair of scans each, so that
+The benchmark goes out in blocks of at most about BLOCK_WORDS words, one scan each, so that
 what is broadcast is bounded; no document text is shuffled. Null or blank texts and items, and items of
 fewer than three words, match nothing. A null doc_id is reported as null. Repeated documents are all
 reported. Empty tables: no rows. Clashing further columns are not read by matches; clean keeps them.
@@ -26,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import chunks, shingles, table, utf8, words
 
 SEED = 3
-RARE_SHARE, RAREST, SUPPORT = 0.001, 8, 4
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 1 << 18
@@ -47,30 +43,19 @@ class _Items:
         seeds = np.concatenate(got) if got else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(got)), [len(x) for x in got])
         place = np.concatenate([np.arange(len(x)) for x in got]) if got else item
-        self.keep(np.ones(len(seeds), bool), seeds, item, place)
-
-    def keep(self, which: np.ndarray, seeds: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
-        order = np.lexsort((place[which], item[which], seeds[which]))
-        self.seeds, self.item, self.place = (x[which][order] for x in (seeds, item, place))
-        #: For each entry the first one of the same seed and item; only those count as different seeds of the item.
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (self.seeds[1:] != self.seeds[:-1]) | (self.item[1:] != self.item[:-1])
-        self.kind = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        self.support = np.clip(np.bincount(self.item[fresh], minlength=len(self.ids)) // 2, 2, SUPPORT)
+        order = np.lexsort((place, item, seeds))
+        self.seeds, self.item, self.place = seeds[order], item[order], place[order]
         self.known = np.zeros(1 << _BITS, bool)
         self.known[self.seeds >> np.uint64(64 - _BITS)] = True
+        #: The distinct words of each item, for the bound.
+        self.kinds = [np.unique(x) for x in self.words]
+        #: An alignment of score s has at least s / MATCH matches.
+        self.least = [int(np.ceil(LEAST_SCORE * len(x))) for x in self.words]
 
-    def rare(self, counts: dict[int, int], documents: int) -> None:
-        df = np.array([counts.get(int(k), 0) for k in self.kind], np.int64)
-        order = np.lexsort((self.place, df, self.item))
-        starts = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - starts[self.item[order]]
-        eighth = np.zeros(len(self.ids))
-        np.maximum.at(eighth, self.item[rank < RAREST], df[rank < RAREST])
-        limit = np.maximum(RARE_SHARE * documents, 1.5 * eighth)[self.item]
-        self.keep((df <= limit) | (rank < RAREST), self.seeds, self.item, self.place)
-        self.needed = np.where(np.bincount(self.item, minlength=len(self.ids)) < 5, 1, 2)
+    def may(self, i: int, window: np.ndarray) -> bool:
+        """Whether window has words enough of item i for the least score."""
+        own = self.kinds[i]
+        return len(window) >= self.least[i] and int((own[np.minimum(np.searchsorted(own, window), len(own) - 1)] == window).sum()) >= self.least[i]
 
     def hits(self, found: np.ndarray) -> np.ndarray:
         """Positions in found that hold a seed."""
@@ -88,21 +73,6 @@ class _Items:
         return np.repeat(at, many), np.repeat(np.searchsorted(first, at, "right") - 1, many), entry
 
 
-def _count(items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = items.value
-        counts = np.zeros(len(own.seeds), np.int64)
-        for piece in chunks(batches, "text"):
-            _, doc, entry = own.entries(*shingles(words(*utf8(piece.column("text"))), SEED))
-            doc, kind = np.divmod(np.unique(doc * max(1, len(counts)) + own.kind[entry]), max(1, len(counts)))
-            _, back, n = np.unique(doc * max(1, len(own.ids)) + own.item[kind], return_inverse=True, return_counts=True)
-            counts += np.bincount(kind[n[back] < own.support[own.item[kind]]], minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["entry", "n"])
-
-    return run
-
-
 def smith_waterman(windows: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each window with its item, all pairs at once: score, and one past the
     window's last aligned word."""
@@ -139,15 +109,19 @@ def _found(own: _Items, texts: pa.Array) -> dict[tuple[int, int], tuple[float, i
         if a == b:
             continue
         i, d = int(item[a]), int(doc[a])
-        kinds = len(np.unique(own.seeds[seed[a:b]]))
-        if kinds < own.needed[i]:
-            continue
         n, text = len(own.words[i]), w.hashes[w.first[d] : w.first[d + 1]]
-        slack, until = n // 3 + 4, None
-        for x in diagonal[a:b]:
-            if until is None or x > until:
-                begin, until = max(0, x - slack), x + slack
-                cases.append((d, i, kinds, begin, text[begin : max(0, x) + n + 2 * slack]))
+        slack, kinds, own_diagonals = n // 3 + 4, 0, diagonal[a:b]
+        begins = [0]
+        for k, x in enumerate(own_diagonals):
+            if x > max(0, own_diagonals[begins[-1]]) + slack:
+                begins.append(k)
+        for k, end in zip(begins, [*begins[1:], b - a], strict=True):
+            # one stretch for diagonals that lie close, as wide on both sides as that of each alone
+            begin = max(0, own_diagonals[k] - slack)
+            window = text[begin : max(0, own_diagonals[end - 1]) + n + 2 * slack]
+            if own.may(i, window):
+                kinds = kinds or len(np.unique(own.seeds[seed[a:b]]))
+                cases.append((d, i, kinds, begin, window))
     got: dict[tuple[int, int], tuple[float, int, int, int]] = {}
     for k in range(0, len(cases), 256):
         part = cases[k : k + 256]
@@ -182,18 +156,15 @@ def _without(items):
     return run
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[_Items]:
-    """The benchmark in blocks of bounded size, each with its rare seeds."""
+def _blocks(benchmark: DataFrame) -> Iterator[_Items]:
+    """The benchmark in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks, documents = -(-total // BLOCK_WORDS), None
+    blocks = -(-total // BLOCK_WORDS)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()
         own = _Items([r[0] for r in rows], [r[1] for r in rows])
         if len(own.ids):
-            documents = docs.count() if documents is None else documents
-            seeds = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(own)), "entry long, n long")
-            own.rare(dict(seeds.groupBy("entry").agg(F.sum("n").alias("n")).collect()), documents)
             yield own
 
 
@@ -204,7 +175,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], MATCHES)
-    for own in _blocks(docs, benchmark):
+    for own in _blocks(benchmark):
         out = out.union(docs.mapInArrow(_align(spark.sparkContext.broadcast(own)), MATCHES))
     best = F.max(F.struct("score", "n_seeds", "from_word", "to_word")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
@@ -214,7 +185,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item of benchmark. Rows are judged where
     they lie; none is shuffled."""
     out = docs
-    for own in _blocks(docs, benchmark):
+    for own in _blocks(benchmark):
         out = out.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(own)), docs.schema)
     return out
 

@@ -62,6 +62,19 @@ def test_hot_item(spark):
     assert {r["doc_id"] for r in got.collect()} == set(range(0, 600, 3))
 
 
+def test_heavily_edited_copies(spark):
+    """Copies that keep one run of the item's seeds, in a third of the rows of a small and a larger table, and a single one."""
+    item = [f"item{k}" for k in range(15)]
+    copy = [f"new{k}" if k in (2, 5, 7, 9) else w for k, w in enumerate(item)]
+    one = [f"new{k}" if k in (1, 3, 7, 9) else w for k, w in enumerate(item)]
+    assert align(item, copy) == align(item, one) == 18
+    items = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    for n, held, edited in ((200, set(range(0, 200, 3)), copy), (200, {77}, copy), (900, set(range(0, 900, 3)), one)):
+        docs = [(k, " ".join([f"w{k}", "begins", *(edited if k in held else ["item12", "item13", "item14"]), "and", f"ends{k}"])) for k in range(n)]
+        got = op8.matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+        assert {r["doc_id"] for r in got} == held and all(abs(r["score"] - 0.6) < 1e-9 for r in got)
+
+
 def test_odd_rows(spark):
     docs = odd.documents(spark)
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog", "x"), (2, None, "x"), (3, "", "x"), (4, "two words", "x"), (None, "a text without any id", "x"), (1, "quick brown fox jumps over the lazy dog", "x")], "item_id long, text string, doc_id string")
