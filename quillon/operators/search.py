@@ -17,7 +17,7 @@ from ..functions import vectors as V
 
 #: Queries that are broadcast at once.
 BLOCK = 4096
-METRICS = ("cosine", "dot", "l2")
+METRICS = ("cosine", "dot", "l2", "mixed")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -25,8 +25,10 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
-def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+def _scores(q: np.ndarray, c: np.ndarray, metric: str, weight: float = 0.5) -> np.ndarray:
     s = q @ c.T
+    if metric == "mixed":
+        return weight * _scores(q, c, "cosine") + (1 - weight) * s
     if metric == "cosine":
         s = s / np.sqrt((q * q).sum(1)[:, None] * (c * c).sum(1)[None, :])
     elif metric == "l2":
@@ -48,11 +50,11 @@ def _fit(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
     return out if zero else out.where(V.dot("v", "v") > 0)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, threshold: float | None = None, exclude_self: bool = False, query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, threshold: float | None = None, exclude_self: bool = False, query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding", weight: float = 0.5) -> DataFrame:
     """query_id, rank (from 1), id and score of the k best rows of the corpus for each query.
 
     where filters the corpus before the search; threshold drops lower scores. metric l2 scores by the
-    negative distance. k larger than the corpus: all of it. All vectors have one length."""
+    negative distance, mixed by weight * cosine + (1 - weight) * dot of every candidate. k larger than the corpus: all of it. All vectors have one length."""
     if k < 1:
         raise ValueError("k must be at least 1")
     if metric not in METRICS:
@@ -60,7 +62,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cos
     if metric == "cosine" and threshold is not None and not -1 <= threshold <= 1:
         raise ValueError("threshold must lie between -1 and 1")
     corpus = corpus if where is None else corpus.where(where)
-    rows, asked = _fit(corpus, corpus_id, vector, metric != "cosine"), _fit(queries, query_id, vector, metric != "cosine")
+    rows, asked = _fit(corpus, corpus_id, vector, metric in ("dot", "l2")), _fit(queries, query_id, vector, metric in ("dot", "l2"))
     spark = corpus.sparkSession
     out = spark.createDataFrame([], "query_id long, id long, score double")
     for block in blocks_of(asked):
@@ -72,7 +74,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cos
             for b in batches:
                 if not b.num_rows:
                     continue
-                s = _scores(q, _matrix(b.column("v")), metric)
+                s = _scores(q, _matrix(b.column("v")), metric, weight)
                 i = np.broadcast_to(b.column("id").to_numpy(), s.shape)
                 if exclude_self:
                     s = np.where(i == ids[:, None], -np.inf, s)
@@ -125,12 +127,6 @@ def rerank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(order))
 
 
-def ensemble(first: DataFrame, second: DataFrame, weight: float = 0.5) -> DataFrame:
-    """The weighted mean of two scorings (query_id, id, score)."""
-    both = first.select("query_id", "id", F.col("score").alias("a")).join(second.select("query_id", "id", F.col("score").alias("b")), ["query_id", "id"])
-    return both.select("query_id", "id", (F.col("a") * weight + F.col("b") * (1 - weight)).alias("score"))
-
-
 def softmax(scores: DataFrame, scale: float = 100.0) -> DataFrame:
     """scores (query_id, id, score) with the softmax of scale * score within each query."""
     own = Window.partitionBy("query_id")

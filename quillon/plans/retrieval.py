@@ -191,9 +191,15 @@ def retrieval_match_averages(spark: SparkSession, sf: str) -> DataFrame:
 )
 def search_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Two scorings mixed, for each query's own row."""
-    sides = _sides(spark, sf)
-    mixed = search.ensemble(search.top_k(*sides, 10), search.top_k(*sides, 10, "dot"), 0.7)
-    return _rounded(mixed.where("id = query_id"))
+    own, e = _sides(spark, sf)[0], F.col("embedding")
+    score = V.cosine("embedding", "embedding") * 0.7 + V.dot("embedding", "embedding") * 0.3
+    return _rounded(own.where(e.isNotNull()).select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("id"), score.alias("score")))
+
+
+@plans.query(_sql("list_cosine_similarity(q.e, c.e) * 0.7 + list_inner_product(q.e, c.e) * 0.3"))
+def search_ensemble_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best by two scorings mixed, each candidate scored by both."""
+    return _rounded(search.top_k(*_sides(spark, sf), 10, "mixed", weight=0.7))
 
 
 @plans.query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:32] AS img, CAST(embedding AS DOUBLE[])[33:64] AS txt FROM embeddings) SELECT id, round(list_cosine_similarity(img, txt), 6) AS score FROM v")

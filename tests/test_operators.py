@@ -206,3 +206,11 @@ def test_components_of_vectors(spark):
     rows = [(k, [float(k), 2.0 * k, 0.0]) for k in range(5)]
     got = encoders.projected(spark.createDataFrame(rows, "id long, v array<double>"), "v", 1).first()
     assert len(got["components"]) == 1
+
+
+def test_mixed_scores_rank_all_candidates(spark):
+    """The best of the mixture stands in neither list of one: it is second by cosine and second by dot."""
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.5]), (3, [2.5, 12.0])], "vec_id long, embedding array<double>")
+    got = search.top_k(rows.where("vec_id = 1"), rows, 1, "mixed", weight=0.7).collect()
+    assert [search.top_k(rows.where("vec_id = 1"), rows, 1, m).first()["id"] for m in ("cosine", "dot")] == [1, 3]
+    assert [(r["id"], r["rank"]) for r in got] == [(2, 1)] and abs(got[0]["score"] - (0.7 * 2 / 4.25**0.5 + 0.3 * 2)) < 1e-9
