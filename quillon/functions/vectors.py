@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -81,19 +82,24 @@ def mean(v: Column | str) -> Column:
     return F.try_divide(total(v), F.size(v))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once a row however often use looks at it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def std(v: Column | str, sample: bool = False) -> Column:
     """Population standard deviation of the elements; sample: with n - 1."""
-    m = mean(v)
-    squares = F.aggregate(F.transform(doubles(v), lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(F.try_divide(squares, F.size(v) - (1 if sample else 0)))
+    squares = lambda m: F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+    return F.sqrt(F.try_divide(bound(mean(v), squares), F.size(v) - (1 if sample else 0)))
 
 
 def histogram(v: Column | str, bins: int = 10) -> Column:
     """Counts of the elements in equal bins between the least and the greatest; the greatest falls into the last bin."""
     v = doubles(v)
-    low, high = F.array_min(v), F.array_max(v)
-    place = F.transform(v, lambda x: F.least(F.coalesce(F.floor(F.try_divide((x - low) * bins, high - low)), F.lit(0)), F.lit(bins - 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)))
+    span = F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+    place = lambda x, s: F.least(F.coalesce(F.floor(F.try_divide((x - s["low"]) * bins, s["high"] - s["low"])), F.lit(0)), F.lit(bins - 1))
+    places = bound(span, lambda s: F.transform(v, lambda x: place(x, s)))
+    return bound(places, lambda own: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(own, lambda p: p == b))))
 
 
 def entropy(v: Column | str, bins: int = 10) -> Column:

@@ -19,15 +19,30 @@ def files(spark: SparkSession, path: str, schema: StructType, per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+#: Whether Spark plans batches without data. State that expires by processing time asks for one after
+#: another, so a stream of it over all there is ends only without them.
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def drained(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all there is into a Parquet folder, and ends."""
     query = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(sink)
     query.awaitTermination()
 
 
-def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Runs work on every micro-batch of all there is, and ends."""
-    df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", idle: bool = True, limit: float | None = None) -> None:
+    """Runs work on every micro-batch of all there is, and ends. idle=False: no batches without data, needed with state
+    that expires by processing time. limit: seconds after which the stream is stopped and TimeoutError raised."""
+    conf = df.sparkSession.conf
+    before = conf.get(_IDLE, "true")
+    conf.set(_IDLE, str(idle and before == "true").lower())
+    try:  # a query takes the setting as it is when it starts
+        query = df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        conf.set(_IDLE, before)
+    if not query.awaitTermination(limit) and limit is not None:
+        query.stop()
+        raise TimeoutError(f"the stream was not done after {limit} s")
 
 
 def _timed(df: DataFrame, late: str) -> DataFrame:

@@ -95,7 +95,7 @@ def test_latest_status_stream(spark, events, tmp_path):
     rows, stream = events
     keyed = stream.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("status"))
     seen: dict[int, str] = {}
-    streams.each_batch(streams.latest_status(keyed), lambda b, n: seen.update({r["key"]: r["status"] for r in b.collect()}), f"{tmp_path}/c", "update")
+    streams.each_batch(streams.latest_status(keyed), lambda b, n: seen.update({r["key"]: r["status"] for r in b.collect()}), f"{tmp_path}/c", "update", limit=300)
     assert seen == {r["user_id"]: r["status"] for r in agents.latest_status(rows, "user_id", "event_type", "ts", "event_id").collect()}
 
 
@@ -108,7 +108,7 @@ def test_expiring_stream(spark, events, tmp_path):
         total[0] += r[0] or 0
         total[1] += r[1] or 0
 
-    streams.each_batch(streams.expiring(stream.select(F.col("user_id").alias("key"), F.col("event_type").alias("value"))), add, f"{tmp_path}/c", "update")
+    streams.each_batch(streams.expiring(stream.select(F.col("user_id").alias("key"), F.col("event_type").alias("value"))), add, f"{tmp_path}/c", "update", idle=False, limit=300)
     assert total == [rows.count() - rows.select("user_id").distinct().count(), rows.count()]
 
 
