@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching (PPM).
 
-For each language a tree of byte contexts up to three bytes long is trained on a sample of at most
-SAMPLE whole documents (those of the smallest hash of the id); then its statistics are frozen. A
+For each language a tree of byte contexts up to three bytes long is trained on a sample of about
+SAMPLE whole documents at most (those of the smallest hash of the id, taken a 64th of a sample at a time); then its statistics are frozen. A
 byte seen after its longest known context costs -log2(n / (total + kinds)) bits; else an escape,
 -log2(kinds / (total + kinds)), is paid and the next shorter context asked, down to 1 / 256 for a byte
 never seen. The exact code length of the whole text is summed under each language's tree, and the
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, fold, per_text_sum, table, utf8
@@ -95,13 +95,29 @@ def _look(where: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     return where[0][at] == keys, where[1][at]
 
 
+def chosen(labelled: DataFrame, sample: int) -> DataFrame:
+    """Rows of labelled (doc_id, lang, ...) whose id's hash is among the smallest of its language: at most `sample` rows a
+    language, but for less than a 64th of it. Counts by language and by step of the hash set the limits, so no language
+    meets in one task and nothing is ranked."""
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))  # a row a language
+    # steps of the hash such that 64 of them are expected to hold a sample; 256 of them are looked at
+    step = F.floor(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) * F.col("size") * (64.0 / sample)).cast("long")
+    near = labelled.join(F.broadcast(sizes), "lang").withColumn("step", F.least(step, F.lit(256)))
+    steps = near.where("step < 256").groupBy("lang", "step").agg(F.count("*").alias("n")).collect()  # 256 rows a language at most
+    limits: dict[str, tuple[int, int]] = {}
+    for r in sorted(steps, key=lambda r: (r["lang"], r["step"])):
+        limit, taken = limits.get(r["lang"], (-1, 0))
+        if taken >= 0:
+            fits = taken + r["n"] <= sample or limit < 0
+            limits[r["lang"]] = (r["step"], taken + r["n"]) if fits else (limit, -1)
+    rows = labelled.sparkSession.createDataFrame([(k, v[0]) for k, v in limits.items()], "lang string, limit long")
+    return near.join(F.broadcast(rows), "lang").where("step <= limit").drop("size", "step", "limit")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Tree]:
-    """A tree per language of docs (doc_id, text, lang); at most `sample` whole documents of each are used."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    spot = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(spot)).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
-    texts = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # at most sample ids a language
-    counts = texts.mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    """A tree per language of docs (doc_id, text, lang); about `sample` whole documents of each are used at most."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
+    counts = chosen(labelled, sample).select("lang", "text").mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.sort_values(["lang", "code"])
     return {lang: Tree(own["code"].to_numpy().astype(np.uint32), own["n"].to_numpy()) for lang, own in counts.groupby("lang", sort=True)}
 
