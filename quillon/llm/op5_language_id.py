@@ -30,6 +30,7 @@ from .common import chunks, fold, per_text_sum, table, utf8
 SAMPLE = 400
 ORDER = 3
 UNKNOWN = "und"
+RAW = 8.0
 PREDICTED = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -155,14 +156,15 @@ def held_out() -> Column:
 
 def keep_languages(docs: DataFrame, keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, whose text is in one of the languages keep (default: any learned
-    one); letterless, empty and null texts go. Learns from docs itself; no row is shuffled."""
+    one); letterless, empty and null texts go, and those that their best language codes in RAW bits a byte or more, which
+    is longer than without any model. Learns from docs itself; no row is shuffled."""
     trees = train(docs.where(~held_out()), sample)
     model = docs.sparkSession.sparkContext.broadcast((sorted(trees), [trees[k] for k in sorted(trees)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, "text"):
-            names = judge(piece.column("text"), *model.value)[0]
-            yield piece.filter(pa.array([n in keep if keep is not None else n != UNKNOWN for n in names], pa.bool_()))
+            names, _, bits = judge(piece.column("text"), *model.value)
+            yield piece.filter(pa.array([(n in keep if keep is not None else n != UNKNOWN) and b < RAW for n, b in zip(names, bits, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
