@@ -9,7 +9,7 @@ components are found. Whatever a bucket of four or more still leaves apart is th
 blocks of bounded size, so that no bucket, however large, meets in one task and no pair is capped.
 
 Null, empty or blank text: empty set, linked with nothing. A null doc_id: kept, in no component.
-Rows that share a doc_id count as one node. Ties: the smallest doc_id represents. Empty table: empty
+Rows that share a doc_id are one node, linked by any of their texts; each has its own n_shingles. Ties: the smallest doc_id represents. Empty table: empty
 result. Further columns of the input, whatever their names, are neither read nor changed by
 near_duplicates; keep_one returns them all.
 """
@@ -31,6 +31,8 @@ REGISTERS, BAND = 252, 6
 LEAST_ESTIMATE = 0.674
 #: Members of a bucket that are compared in one block.
 BLOCK = 512
+#: Shingles of the texts of one side of a block, some 8 MB.
+SHINGLES = 1 << 20
 #: Bits of the bitmap that goes out before texts are gathered by id (2 MB as a bit each).
 BITMAP = 1 << 24
 #: Elements whose permutations are held at once.
@@ -146,6 +148,27 @@ def _confirm(size: int):
     return run
 
 
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a block that have a partner on the other side, in another component, as far as sizes and signatures tell."""
+    for b in batches:
+        for k in range(b.num_rows):
+            sides = [b.column(c)[k].values for c in ("left", "right")]
+            if not len(sides[0]) or not len(sides[1]):
+                continue
+            (cx, nx, sx), (cy, ny, sy) = ((s.field("comp").to_numpy(), s.field("n_shingles").to_numpy(), _signatures(s)) for s in sides)
+            some = np.zeros(len(cx), bool), np.zeros(len(cy), bool)
+            for x in range(len(cx)):
+                allowed = np.flatnonzero((cx[x] != cy) & (100 * np.minimum(nx[x], ny) >= 80 * np.maximum(nx[x], ny)))
+                close = allowed[(sy[allowed] == sx[x]).mean(1) >= LEAST_ESTIMATE]
+                some[0][x] = len(close) > 0
+                some[1][close] = True
+            for side, s, own in zip((0, 1), sides, some, strict=True):
+                part = s.filter(pa.array(own))
+                if len(part):
+                    at = [pa.array([b.column(c)[k].as_py()] * len(part), t) for c, t in (("bucket", pa.int64()), ("l", pa.int32()), ("r", pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*at, pa.array([side] * len(part), pa.int32()), *(part.field(c) for c in ("rep", "comp", "signature"))], names=["bucket", "l", "r", "side", "rep", "comp", "signature"])
+
+
 def _links_within(size: int):
     """Links of a block between components: rows of `left`, each against all of `right`. Pairs that the
     signatures allow are confirmed on the full sets at once, unless their components have met already."""
@@ -178,13 +201,16 @@ def _root(above: dict[int, int], x: int) -> int:
     return x
 
 
+def _signatures(s: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(s.field("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
 def _members(s: pa.Array, size: int) -> tuple[np.ndarray, ...]:
-    signature = np.frombuffer(b"".join(s.field("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    return s.field("rep").to_numpy(), s.field("comp").to_numpy(), signature, *distinct_per_text(*shingles(words(*utf8(s.field("text"))), size))
+    return s.field("rep").to_numpy(), s.field("comp").to_numpy(), _signatures(s), *distinct_per_text(*shingles(words(*utf8(s.field("text"))), size))
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents whose id is in ids (doc_id), one row each. A bitmap of the ids'
+    """The distinct doc_id and text of the documents whose id is in ids (doc_id). A bitmap of the ids'
     hashes, of BITMAP bits at any size of ids, spares the other texts the shuffle."""
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
     bits = ids.groupBy((spot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits")).toPandas()
@@ -198,7 +224,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield b.filter(pa.array(some[b.column("spot").to_numpy()])).select(["doc_id", "text"])
 
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, text string")
-    return some.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return some.join(ids.hint("merge"), "doc_id", "left_semi").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -213,19 +239,22 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_sign(size), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.withColumnRenamed("doc_id", "rep").join(classes.hint("merge"), ["rep", "fp1", "fp2"], "left_semi").dropDuplicates(["rep", "fp1", "fp2"])
-    reps = stored(reps.select("rep", "fp1", "fp2", "n_shingles", "bands", "signature"), "reps")
+    # the row of each class with the smallest id, of rows of one id any: they have one set
+    least = full.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "signature")).alias("r"))
+    reps = stored(least.select("fp1", "fp2", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.bands", "r.signature"), "reps")
 
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high")
     members = stored(spread.join(buckets.hint("merge"), "bucket"), "members")
     ends = members.select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end")
-    pairs = ends.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
-    facts = reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
-    side = lambda k: facts.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
-    tested = stored(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").mapInArrow(_close, "a long, b long"), "pairs")
+    pairs = stored(ends.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct(), "ends")
+    # joined as they are stored, so that a hub among the representatives is split
+    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}")).hint("merge")
+    tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a long, b long"), "pairs")
     links = _verified(tested, docs, size)
+    several = full.groupBy("doc_id").agg(F.min("fp1").alias("x"), F.max("fp1").alias("y")).where("x < y").select("doc_id")  # ids of different texts
+    homes = full.join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "fp1", "fp2").distinct().join(reps.select("fp1", "fp2", "rep").hint("merge"), ["fp1", "fp2"])
+    links = links.union(stored(homes.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"), "homes"))
     labels = components(links)
 
     # buckets of four and more whose members are still apart: all others are settled by their two ends
@@ -233,28 +262,38 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     counts = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     apart = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     apart = apart.select("bucket", F.col("main.comp").alias("main"), (F.col("all") - F.col("main.n")).alias("outside"), "all")
-    rows = stored(joined.select("bucket", "rep", "comp").join(apart.hint("merge"), "bucket").join(facts.hint("merge"), "rep"), "apart")
+    rows = stored(joined.select("bucket", "rep", "comp").join(apart.hint("merge"), "bucket").join(reps.select("rep", "n_shingles", "signature").hint("merge"), "rep"), "apart")
     if not rows.isEmpty():
-        texts = _texts(docs, rows.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
-        links = links.union(stored(_links_apart(rows.join(texts.hint("merge"), "rep"), size), "links"))
+        links = links.union(stored(_links_apart(rows, docs, size), "links"))
         labels = components(links)
 
-    known = full.select("doc_id", "fp1", "fp2").join(classes.hint("merge"), ["fp1", "fp2"]).join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    known = known.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
+    homes = reps.select("fp1", "fp2", "rep").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
+    known = full.select("doc_id", "fp1", "fp2").join(homes.hint("merge"), ["fp1", "fp2"]).groupBy("doc_id").agg(F.min("comp").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(known.hint("merge"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links_apart(rows: DataFrame, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, *own: str) -> DataFrame:
+    """bucket, l, r and the members of each block, left and right, as arrays: rows (bucket, l, r, side, own)."""
+    side = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct(*own)))
+    return rows.groupBy("bucket", "l", "r").agg(side(0).alias("left"), side(1).alias("right"))
+
+
+def _links_apart(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Links between components of a bucket, found block by block. The rows outside a bucket's
-    largest component form left blocks; each meets every right block, of all the bucket's rows."""
-    lefts, rights = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("outside", "all"))
-    own = F.struct("rep", "comp", "signature", "text")
+    largest component form left blocks; each meets every right block, of all the bucket's rows. Signatures meet first,
+    and the texts of those members only that have a possible partner; a block holds at most about
+    BLOCK rows and SHINGLES shingles a side."""
+    weight = rows.groupBy("bucket").agg(F.sum("n_shingles").alias("w"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n_shingles"))).alias("v"))
+    rows = rows.join(weight.hint("merge"), "bucket")
+    lefts, rights = (F.ceil(F.greatest(F.col(c) / BLOCK, F.col(w) / SHINGLES)).cast("int") for c, w in (("outside", "v"), ("all", "w")))
+    own = ["rep", "comp", "n_shingles", "signature"]
     spot: Column = F.xxhash64("rep", F.lit(7))
-    none = F.lit(None).cast("struct<rep:bigint,comp:bigint,signature:binary,text:string>")
-    left = rows.where("comp <> main").select("bucket", F.pmod(spot, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), own.alias("left"), none.alias("right"))
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(spot, rights).cast("int").alias("r"), none.alias("left"), own.alias("right"))
-    blocks = left.unionByName(right).groupBy("bucket", "l", "r").agg(F.collect_list("left").alias("left"), F.collect_list("right").alias("right"))
+    left = rows.where("comp <> main").select("bucket", F.pmod(spot, lefts).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), F.lit(0).alias("side"), *own)
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"), F.pmod(spot, rights).cast("int").alias("r"), F.lit(1).alias("side"), *own)
+    hope = stored(_blocks(left.unionByName(right), *own).mapInArrow(_hopeful, "bucket long, l int, r int, side int, rep long, comp long, signature binary"), "hopeful")
+    texts = _texts(docs, hope.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+    blocks = _blocks(hope.join(texts.hint("merge"), "rep"), "rep", "comp", "signature", "text")
     return blocks.select("left", "right").mapInArrow(_links_within(size), "a long, b long")
 
 

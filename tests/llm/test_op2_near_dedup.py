@@ -83,3 +83,12 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "6", "8", "None", "None"])
     assert op2.near_duplicates(odd.documents(spark, empty=True)).count() == 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """One node, linked by any of its texts."""
+    r = random.Random(8)
+    a, b, c = (" ".join(r.choices([f"w{k}" for k in range(400)], k=60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, b + " w1")]
+    got = op2.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(1, 57, 1, True), (2, 57, 1, False), (2, 57, 1, False), (3, 57, 1, False), (4, 57, 4, True), (4, 57, 4, True), (5, 58, 1, False)]
