@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,17 +15,19 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 # Elements by their part in a page: fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas head".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
-    "html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-_ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "option", "legend"}
+_ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "optgroup", "option", "select", "legend"}
+#: Elements that stand deeper are taken as their parent's content, as browsers do.
+DEEPEST = 512
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": set()}
 
 #: Groups of tags and of attribute words that features are about.
-TAGS = [{"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "ul", "ol", "dl", "dd", "dt", "menu"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "legend", "option"}, {"article"}, {"main"}, {"div", "center"}, {"section"}, {"table", "tr", "td", "th", "tbody", "thead"}, {"blockquote", "pre", "figure", "figcaption"}, {"address", "dialog", "details"}]
+TAGS = [{"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "ul", "ol", "dl", "dd", "dt", "menu"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "legend", "option", "optgroup", "select"}, {"article"}, {"main"}, {"div", "center"}, {"section"}, {"table", "tr", "td", "th", "tbody", "thead"}, {"blockquote", "pre", "figure", "figcaption"}, {"address", "dialog", "details"}]
 WORDS = [
     r"\b(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|affiliate)\b",
     r"\b(?:nav\w*|menu\w*|breadcrumbs?|toc|pagination|pager|tabs?|skip)\b",
@@ -58,10 +61,15 @@ class Node:
 
 def parse(page: str) -> list[Node]:
     """The block-level nodes of a page in page order, the root first; leaves hold the text blocks, decoded and
-    with single spaces. What a browser doesn't show (head, scripts, styles, comments, markup) is no part of any text."""
+    with single spaces (white space is what str.split takes as such). What a browser doesn't show (scripts, styles, titles,
+    comments, markup) is no part of any text. A slash at the end of a tag closes nothing, as HTML has it. Time is linear in
+    the page, whatever is left open: no more than DEEPEST elements are open at once."""
     nodes = [Node("html", -1)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block-level node they belong to
     held: list[str] = []
+    blocks: list[int] = []  # where the block-level ones among them stand
+    opened, flat = Counter[str](), Counter[str]()  # open elements by tag; those that are too deep to be opened
+    endless: set[str] = set()  # raw elements that aren't closed any more
     linked = in_link = at = 0
 
     def flush() -> None:
@@ -75,19 +83,30 @@ def parse(page: str) -> list[Node]:
             held.clear()
         linked = 0
 
+    def push(tag: str, node: int) -> None:
+        nonlocal in_link
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        elif tag == "a":
+            in_link += 1
+        opened[tag] += 1
+        stack.append((tag, node))
+
     def pop(to: int) -> None:
         nonlocal in_link
         while len(stack) > to:
             tag = stack[-1][0]
             if tag in BLOCK:
                 flush()
+                blocks.pop()
             elif tag == "a":
-                in_link = max(0, in_link - 1)
+                in_link -= 1
+            opened[tag] -= 1
             stack.pop()
 
-    end = len(page)
+    end, last = len(page), page.rfind(">")
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else None
         stop = m.start() if m else end
         if stop > at:
             piece = page[at:stop]
@@ -106,15 +125,18 @@ def parse(page: str) -> list[Node]:
         if closing:
             if tag == "br":
                 held.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if flat[tag]:
+                flat[tag] -= 1
+            elif opened[tag]:
+                pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
-            if not attrs.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+            close = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            else:
+                endless.add(tag)
+                at = end if tag in ("script", "style", "textarea", "title") else at
             held.append(" ")
             continue
         if tag in VOID:
@@ -124,20 +146,9 @@ def parse(page: str) -> list[Node]:
                 flush()
             held.append(" ")
             continue
-        if tag not in BLOCK:
-            if tag == "a":
-                in_link += 1
-            if not attrs.endswith("/"):
-                stack.append((tag, stack[-1][1]))
-            continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if tag in _SIBLINGS:
+        if tag in _ENDS_P and blocks and stack[blocks[-1]][0] == "p":
+            pop(blocks[-1])
+        if tag in _SIBLINGS and any(opened[t] for t in _SIBLINGS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in _SIBLINGS[tag]:
                     pop(k)
@@ -145,6 +156,14 @@ def parse(page: str) -> list[Node]:
                         break
                 elif stack[k][0] in _BOUND[tag]:
                     break
+        if len(stack) >= DEEPEST:
+            flat[tag] += 1
+            if tag in BLOCK:
+                flush()
+            continue
+        if tag not in BLOCK:
+            push(tag, stack[-1][1])
+            continue
         flush()
         owner = stack[-1][1]
         node = Node(tag, owner)
@@ -153,7 +172,7 @@ def parse(page: str) -> list[Node]:
             words = " ".join(found[k] for k in ("class", "id", "role") if k in found)
             node.attrs, node.mark = _SPLIT.sub(" ", _CAMEL.sub(" ", words).lower()), found.get("data-mark", "")
         nodes[owner].children.append(len(nodes))
-        stack.append((tag, len(nodes)))
+        push(tag, len(nodes))
         nodes.append(node)
     pop(1)
     flush()
