@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high")
-    members = stored(spread.join(buckets.hint("merge"), "bucket"), "members")
+    members = stored(spread.join(stored(buckets, "buckets").hint("merge"), "bucket"), "members")
     ends = members.select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end")
     pairs = stored(ends.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct(), "ends")
     # joined as they are stored, so that a hub among the representatives is split
@@ -262,6 +262,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     counts = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     apart = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     apart = apart.select("bucket", F.col("main.comp").alias("main"), (F.col("all") - F.col("main.n")).alias("outside"), "all")
+    apart = stored(apart, "mains")  # aggregates are stored before they are joined, so that the rows of a large bucket are split
     rows = stored(joined.select("bucket", "rep", "comp").join(apart.hint("merge"), "bucket").join(reps.select("rep", "n_shingles", "signature").hint("merge"), "rep"), "apart")
     if not rows.isEmpty():
         links = links.union(stored(_links_apart(rows, docs, size), "links"))
@@ -285,7 +286,7 @@ def _links_apart(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     and the texts of those members only that have a possible partner; a block holds at most about
     BLOCK rows and SHINGLES shingles a side."""
     weight = rows.groupBy("bucket").agg(F.sum("n_shingles").alias("w"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n_shingles"))).alias("v"))
-    rows = rows.join(weight.hint("merge"), "bucket")
+    rows = rows.join(stored(weight, "weights").hint("merge"), "bucket")
     lefts, rights = (F.ceil(F.greatest(F.col(c) / BLOCK, F.col(w) / SHINGLES)).cast("int") for c, w in (("outside", "v"), ("all", "w")))
     own = ["rep", "comp", "n_shingles", "signature"]
     spot: Column = F.xxhash64("rep", F.lit(7))
