@@ -2,49 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .search import _fit, _matrix, _scores
+from .blocks import met
+from .search import CELLS, _fit, _matrix, _scores
 
 
 def ranks(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id and rank of the item with the query's own id among all items, by cosine (both: id, v).
+    """query_id and rank of the item with the query's own id among all items, by cosine (both: id, v)."""
+    rows = _fit(items, "id", "v", True)
+    pairs = _fit(queries, "id", "v", True).join(rows.select("id", F.col("v").alias("t")), "id").withColumn("true_id", F.col("id"))
+    return _ranked(pairs, rows, False).select("query_id", "rank")
+
 
-    The rank is one more than the number of better items, ties going to the smaller id; it is counted beside the
-    items, block of queries by block, and summed, so no pair leaves a task. Vectors of length zero score 0."""
-    spark = items.sparkSession
+def true_ranks(queries: DataFrame, truth: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, id and rank of every true item (truth: query_id, id) of each query among all items but the query's own."""
     rows = _fit(items, "id", "v", True)
-    pairs = _fit(queries, "id", "v", True).join(rows.select("id", F.col("v").alias("t")), "id")
-    out = spark.createDataFrame([], "query_id long, better long")
-    n = -(-pairs.count() // 4096)
-    for k in range(n):
-        own = pairs.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id").toPandas()
-        if not len(own):
-            continue
-        q, t = (np.stack([np.asarray(v, np.float64) for v in own[c]]) for c in ("v", "t"))
-        with np.errstate(invalid="ignore"):
-            truth = np.nan_to_num((q * t).sum(1) / np.sqrt((q * q).sum(1) * (t * t).sum(1)))
-        shared = spark.sparkContext.broadcast((own["id"].to_numpy(np.int64), q, truth))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, truth = shared.value
-            better = np.zeros(len(ids), np.int64)
-            for b in batches:
-                if b.num_rows:
-                    with np.errstate(invalid="ignore"):
-                        s = np.nan_to_num(_scores(q, _matrix(b.column("v")), "cosine"))
-                    i = b.column("id").to_numpy()[None, :]
-                    ahead = (s > truth[:, None]) | ((s == truth[:, None]) & (i < ids[:, None]))
-                    better += (ahead & (i != ids[:, None])).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(better)], names=["query_id", "better"])
-
-        out = out.union(rows.mapInArrow(run, "query_id long, better long"))
-    return out.groupBy("query_id").agg((F.sum("better") + 1).alias("rank"))
+    named = truth.select(F.col("query_id").alias("id"), F.col("id").alias("true_id"))
+    pairs = _fit(queries, "id", "v", True).join(named, "id").join(rows.select(F.col("id").alias("true_id"), F.col("v").alias("t")), "true_id")
+    return _ranked(pairs, rows, True).withColumnRenamed("true_id", "id")
+
+
+def _ranked(pairs: DataFrame, rows: DataFrame, skip_self: bool) -> DataFrame:
+    """query_id, true_id and rank of pairs (id, v, true_id, t), t being the vector of the true item.
+
+    The rank is one more than the number of better items, ties going to the smaller id; blocks of pairs meet blocks of
+    items, and only the numbers leave a task. Vectors of length zero score 0."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, true, own = (t.column(c).to_numpy() for t, c in ((left, "id"), (left, "true_id"), (right, "id")))
+        better = np.zeros(len(ids), np.int64)
+        if len(ids) and len(own):
+            q, t, c = _matrix(left.column("v")), _matrix(left.column("t")), _matrix(right.column("v"))
+            step = max(1, CELLS // len(own))
+            with np.errstate(invalid="ignore"):
+                truth = np.nan_to_num((q * t).sum(1) / np.sqrt((q * q).sum(1) * (t * t).sum(1)))
+                for at in range(0, len(ids), step):
+                    part = slice(at, at + step)
+                    s = np.nan_to_num(_scores(q[part], c, "cosine"))
+                    ahead = (s > truth[part, None] + 1e-12) | ((np.abs(s - truth[part, None]) <= 1e-12) & (own[None] < true[part, None]))
+                    ahead &= own[None] != true[part, None]
+                    better[part] = (ahead & (own[None] != ids[part, None]) if skip_self else ahead).sum(1)
+        return pa.table([pa.array(ids.astype(np.int64)), pa.array(true.astype(np.int64)), pa.array(better)], names=["query_id", "true_id", "better"])
+
+    counts = met(pairs.select("id", "true_id", "v", "t"), rows.select("id", "v"), run, "query_id long, true_id long, better long")
+    return counts.groupBy("query_id", "true_id").agg((F.sum("better") + 1).alias("rank"))
 
 
 def recall_at(k: int) -> Column:

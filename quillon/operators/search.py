@@ -1,26 +1,27 @@
 """Similarity search and similarity matrices.
 
-Queries go out in blocks of a bounded size, each against the corpus where it lies; a task keeps k rows a query, so neither side is
-shuffled and no N x M pairs are made. Ties go to the smaller id. Vectors of length zero and null vectors are found by nothing.
+Blocks of queries meet blocks of the corpus, and a task keeps k rows a query, so no N x M pairs leave a task and nothing passes
+the driver; products are worked out at most CELLS at a time. Ties go to the smaller id. Vectors of length zero and null vectors are found by nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import met
 
-#: Queries that are broadcast at once.
-BLOCK = 4096
+#: Scores that are held at once.
+CELLS = 1 << 21
 METRICS = ("cosine", "dot", "l2", "mixed")
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
@@ -36,13 +37,12 @@ def _scores(q: np.ndarray, c: np.ndarray, metric: str, weight: float = 0.5) -> n
     return s
 
 
-def blocks_of(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of queries (id, v), `size` rows at a time or fewer."""
-    n = -(-queries.count() // size)
-    for k in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id").toPandas()
-        if len(rows):
-            yield rows["id"].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in rows["v"]])
+def best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best scores of each row, ties going to the smaller id."""
+    order = np.lexsort((ids, -scores, row))
+    own = row[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[place < k]
 
 
 def _fit(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
@@ -63,30 +63,27 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cos
         raise ValueError("threshold must lie between -1 and 1")
     corpus = corpus if where is None else corpus.where(where)
     rows, asked = _fit(corpus, corpus_id, vector, metric in ("dot", "l2")), _fit(queries, query_id, vector, metric in ("dot", "l2"))
-    spark = corpus.sparkSession
-    out = spark.createDataFrame([], "query_id long, id long, score double")
-    for block in blocks_of(asked):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_s, best_i = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                s = _scores(q, _matrix(b.column("v")), metric, weight)
-                i = np.broadcast_to(b.column("id").to_numpy(), s.shape)
-                if exclude_self:
-                    s = np.where(i == ids[:, None], -np.inf, s)
-                if threshold is not None:
-                    s = np.where(s >= threshold, s, -np.inf)
-                best_s, best_i = np.hstack([best_s, s]), np.hstack([best_i, i])
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            some = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(best_i[some]), pa.array(best_s[some])], names=["query_id", "id", "score"])
-
-        out = out.union(rows.mapInArrow(run, "query_id long, id long, score double"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, q, own = left.column("id").to_numpy(), _matrix(left.column("v")), right.column("id").to_numpy()
+        c = _matrix(right.column("v"))
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        step = max(1, CELLS // max(1, len(own)))
+        for at in range(0, len(ids) if len(own) else 0, step):
+            s = _scores(q[at : at + step], c, metric, weight)
+            if exclude_self:
+                s = np.where(own[None] == ids[at : at + step, None], -np.inf, s)
+            if threshold is not None:
+                s = np.where(s >= threshold, s, -np.inf)
+            s = np.where(np.isnan(s), -np.inf, s)
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
+            row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+            keep = best(row, own[col], s[row, col], k)
+            for n, part in enumerate((row[keep] + at, own[col[keep]], s[row[keep], col[keep]])):
+                held[n] = np.concatenate([held[n], part])
+        return pa.table([pa.array(ids[held[0]].astype(np.int64)), pa.array(held[1].astype(np.int64)), pa.array(held[2])], names=["query_id", "id", "score"])
+
+    out = met(asked, rows, run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -134,12 +131,18 @@ def softmax(scores: DataFrame, scale: float = 100.0) -> DataFrame:
     return scores.withColumn("e", raised).withColumn("share", F.col("e") / F.sum("e").over(own)).drop("e")
 
 
-def combine(texts: DataFrame, images: DataFrame, normalize: bool = True) -> DataFrame:
-    """Every text with every image as (t + i) / 2, for a request's few texts and images.
-    texts (t, v), images (i, v); an empty side: the other side as it is."""
-    if texts.isEmpty() or images.isEmpty():
+def combine(texts: DataFrame, images: DataFrame, normalize: bool = True, most: int = 4096) -> DataFrame:
+    """Every text of a request with every image as (t + i) / 2. texts (t, v), images (i, v); an empty side: the other as it is.
+
+    The texts are a stated set of at most `most` (ValueError beyond) that goes out beside the images where they lie; so
+    each image gives a row a text, and nothing is shuffled."""
+    held = texts.select("t", V.doubles("v").alias("v")).limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} texts")
+    if not held or images.isEmpty():
         t = texts.select("t", F.lit(None).cast("long").alias("i"), V.doubles("v").alias("v"))
         return t.union(images.select(F.lit(None).cast("long").alias("t"), "i", V.doubles("v").alias("v")))
-    both = texts.select("t", F.col("v").alias("tv")).join(images.select("i", F.col("v").alias("iv")), F.lit(True))
+    asked = F.broadcast(texts.sparkSession.createDataFrame(held, "t long, tv array<double>"))
+    both = images.select("i", V.doubles("v").alias("iv")).crossJoin(asked)
     mean = V.average("tv", "iv")
     return both.select("t", "i", (V.normalize(mean) if normalize else mean).alias("v"))

@@ -18,9 +18,9 @@ def latest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return records.latest(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "ts")
 
 
-@plans.query("WITH c AS (SELECT doc_id, 'new' AS text FROM labels UNION ALL SELECT doc_id + 1000000, 'new' FROM labels) SELECT doc_id, text FROM c UNION ALL SELECT doc_id, left(text, 5) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)")
+@plans.query("WITH c AS (SELECT doc_id, 'new' AS text FROM labels UNION ALL SELECT doc_id + 1000000, 'new' FROM labels) SELECT doc_id, text FROM c UNION ALL SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)")
 def upserted(spark: SparkSession, sf: str) -> DataFrame:
-    base = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(5)).alias("text"), F.lit(0).alias("version"))
+    base = table(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("version"))
     labels = table(spark, sf, "labels").select("doc_id", F.lit("new").alias("text"), F.lit(1).alias("version"))
     return records.upsert(base, labels.union(labels.withColumn("doc_id", F.col("doc_id") + 1000000)), ["doc_id"], ["version"]).select("doc_id", "text")
 

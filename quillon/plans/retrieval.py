@@ -164,17 +164,17 @@ def retrieval_rank_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @plans.query(
     _PAIRS.format(score=_COS, where="AND q.vec_id <> c.vec_id")
     + """, t AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id AND q.vec_id % 100 = 0),
-h AS (SELECT t.*, r.rank FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.id = t.id AND r.rank <= 20)
+h AS (SELECT t.*, r.rank FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.id = t.id)
 SELECT query_id, """
     + ", ".join(f"round(count(*) FILTER (rank <= {k}) / count(*), 6) AS recall_{k}" for k in (1, 5, 10))
     + ", round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM h GROUP BY query_id"
 )
 def retrieval_multi_truth(spark: SparkSession, sf: str) -> DataFrame:
-    """Several true items a query: those of its label, looked for among the 20 nearest."""
+    """Several true items a query, those of its label, each by its rank among all rows."""
     queries, rows = _sides(spark, sf)
-    found = search.top_k(queries, rows, 20, exclude_self=True)
     truth = queries.select(F.col("vec_id").alias("query_id"), "label").join(rows.select(F.col("vec_id").alias("id"), "label"), "label").where("id <> query_id").select("query_id", "id")
-    return _rounded(ranking.multi_truth(found, truth))
+    side = lambda df: df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return _rounded(ranking.multi_truth(ranking.true_ranks(side(queries), truth, side(rows)), truth))
 
 
 @plans.query(_PAIRS.format(score=_COS, where="AND q.vec_id <> c.vec_id") + "SELECT q.label = c.label AS is_match, round(avg(r.score), 4) AS avg_score, count(*) AS n FROM r JOIN v q ON q.vec_id = r.query_id JOIN v c ON c.vec_id = r.id WHERE rank <= 10 GROUP BY 1")
@@ -209,12 +209,12 @@ def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plans.query(
-    """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0),
-m AS (SELECT t.vec_id AS t, i.vec_id AS i, list_transform(list_zip(t.e, i.e), lambda p: (p[1] + p[2]) / 2) AS v FROM q t, q i)
+    """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+m AS (SELECT t.vec_id AS t, i.vec_id AS i, list_transform(list_zip(t.e, i.e), lambda p: (p[1] + p[2]) / 2) AS v FROM q t JOIN q i ON t.vec_id % 100 = 0)
 SELECT t, i, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS v FROM m WHERE list_inner_product(v, v) > 0"""
 )
 def combined_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Every asked text with every asked image, averaged and normalised."""
-    asked = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
-    both = search.combine(asked.select(F.col("vec_id").alias("t"), V.doubles("embedding").alias("v")), asked.select(F.col("vec_id").alias("i"), V.doubles("embedding").alias("v")))
+    """Every asked text with every image, averaged and normalised."""
+    asked, rows = _sides(spark, sf)
+    both = search.combine(asked.select(F.col("vec_id").alias("t"), V.doubles("embedding").alias("v")), rows.select(F.col("vec_id").alias("i"), V.doubles("embedding").alias("v")))
     return both.withColumn("v", F.transform("v", lambda x: F.round(x, 6)))
