@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 
-#: Words for the size of an embedding's statistics, from small to large: fixed values.
+#: Words for the size of an embedding's statistics, from small to large; a choice of this library.
 FEATURE_WORDS = {"mean": ["dark", "muted", "bright", "vivid"], "std": ["uniform", "varied", "complex", "chaotic"]}
 TEMPLATES = ["An image of {}", "A picture showing {}", "A scene with {}", "A view of {}"]
 

@@ -1,168 +1,88 @@
-"""Adaptive batch sizes: folds over recorded telemetry, one per stream.
+"""Adaptive batch sizes as analysis of recorded telemetry: the size that a rule advises after each recorded batch.
 
-A stream's rows are ordered and folded one by one; that is what these rules are. Streams are spread over tasks by their
-key, and a stream is read as Arrow batches in order, so its length is not bounded by memory.
+Every rule looks at the batch as it was recorded (its size, seconds and share of memory) and at windows over the batches before it in
+its stream, so all rows of all streams are judged at once by window functions; nothing is simulated and no stream is
+replayed row by row. The rules are CASE expressions in plain SQL, in columns of `recorded`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-Rule = Callable[["State", float, float], int]
-
-
-@dataclass
-class State:
-    """What a rule remembers of its stream."""
-
-    size: int
-    low: int = 1
-    high: int = 64
-    seen: int = 0
-    memory_bound: bool = False
-    latency_bound: bool = False
-    recent: list[float] = field(default_factory=list)
-    growth: float = 1.2
-    shrink: float = 0.8
-
-    def clamp(self, size: float) -> int:
-        return int(max(self.low, min(self.high, size)))
-
-    def keep(self, x: float, n: int) -> None:
-        self.recent.append(x)
-        del self.recent[:-n]
-
-
-def throughput_rule(target: float = 0.8, latency: float = 2.0, window: int = 10) -> Rule:
-    """Memory first, then latency, then the trend of throughput; grows while unexplored. Growth and shrinkage are
-    tuned every 50 rows."""
-
-    def step(s: State, seconds: float, memory: float) -> int:
-        now = s.size / max(seconds, 1e-6)
-        before = sum(s.recent) / len(s.recent) if s.recent else 0.0
-        s.keep(now, window)
-        if s.seen % 50 == 0:
-            better = before == 0 or now >= before
-            s.growth = min(1.5, max(1.05, s.growth * (1.05 if better else 0.95)))
-            s.shrink = min(0.9, max(0.5, s.shrink * (1.05 if better else 0.95)))
-        if memory > target:
-            return s.clamp(s.size * s.shrink)
-        if seconds > latency:
-            return s.clamp(s.size * s.shrink)
-        if before and now < 0.9 * before:
-            return s.clamp(s.size * s.shrink)
-        if s.seen < window or now > 1.1 * before:
-            return s.clamp(max(s.size + 1, s.size * s.growth))
-        return s.size
-
-    return step
-
-
-def steady_rule(target: float = 0.8, latency: float = 2.0, window: int = 5) -> Rule:
-    """One up or down as throughput leaves the mean of the window by a tenth; limits stick."""
-
-    def step(s: State, seconds: float, memory: float) -> int:
-        now = s.size / max(seconds, 1e-6)
-        mean = sum(s.recent) / len(s.recent) if s.recent else now
-        s.keep(now, window)
-        if memory > target:
-            s.memory_bound = True
-            return s.clamp(s.size - 1)
-        if seconds > latency:
-            s.latency_bound = True
-            return s.clamp(s.size - 1)
-        if s.seen <= 2 or s.memory_bound or s.latency_bound:
-            return s.size
-        return s.clamp(s.size + (1 if now > 1.1 * mean else -1 if now < 0.9 * mean else 0))
-
-    return step
-
-
-def warm_up_rule(target: float = 0.8, fast: float = 0.5, slow: float = 2.0) -> Rule:
-    """Nothing for three rows; then a fifth up if there is room (two up if the projected memory is too much), a fifth down if not."""
-
-    def step(s: State, seconds: float, memory: float) -> int:
-        if s.seen <= 3:
-            return s.size
-        if memory > target or seconds > slow:
-            return s.clamp(s.size * 0.8)
-        if memory < 0.8 * target and seconds < fast:
-            grown = s.size * 1.2
-            return s.clamp(grown if memory * grown / s.size <= target else s.size + 2)
-        return s.size
-
-    return step
-
-
-def one_step_rule(high: float = 0.8, low: float = 0.5, per_item: float = 0.5) -> Rule:
-    def step(s: State, seconds: float, memory: float) -> int:
-        if memory > high:
-            return s.clamp(s.size - 1)
-        return s.clamp(s.size + 1) if memory < low and seconds / s.size < per_item else s.size
-
-    return step
-
-
-def per_sample_rule(fast: float = 0.01, slow: float = 0.1) -> Rule:
-    """Two up below `fast` seconds a sample, two down above `slow`."""
-
-    def step(s: State, seconds: float, memory: float) -> int:
-        each = seconds / s.size
-        return s.clamp(s.size + (2 if each < fast else -2 if each > slow else 0))
-
-    return step
-
-
-def gap_rule(cpu: float = 0.8, memory_target: float = 0.8, rate: float = 0.5, cooldown: int = 5) -> Rule:
-    """Every `cooldown` rows: the smaller of both gaps to the targets, times rate, at most half of the size."""
-
-    def step(s: State, seconds: float, memory: float) -> int:
-        if s.seen % cooldown:
-            return s.size
-        gap = min(cpu - min(1.0, seconds), memory_target - memory)
-        return s.clamp(s.size * (1 + max(-0.5, min(0.5, gap * rate))))
-
-    return step
-
-
-def best_mean_rule(every: int = 10) -> Rule:
-    """Every `every` rows the size with the highest mean throughput so far."""
-
-    def step(s: State, seconds: float, memory: float) -> int:
-        held = s.__dict__.setdefault("sums", {})
-        total, n = held.get(s.size, (0.0, 0))
-        held[s.size] = (total + s.size / max(seconds, 1e-6), n + 1)
-        if s.seen % every:
-            return s.clamp(s.size + (1 if s.seen % 2 else 0))
-        return s.clamp(max(held, key=lambda b: (held[b][0] / held[b][1], -b)))
-
-    return step
-
-
-RULES: dict[str, Callable[[], Rule]] = {"throughput": throughput_rule, "steady": steady_rule, "warm_up": warm_up_rule, "one_step": one_step_rule, "per_sample": per_sample_rule, "gap": gap_rule, "best_mean": best_mean_rule}
-
-
-def replay(telemetry: DataFrame, by: str, rule: str, start: int = 8, low: int = 1, high: int = 64) -> DataFrame:
-    """by, event_id and the batch_size after each row of telemetry (by, ts, event_id, processing_time, memory)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict[object, tuple[State, Rule]] = {}
-        for rows in frames:
-            sizes = []
-            for key, seconds, memory in zip(rows[by], rows["processing_time"], rows["memory"], strict=True):
-                if key not in states:
-                    states.clear()  # rows come sorted, so an earlier stream is over
-                    states[key] = (State(start, low, high), RULES[rule]())
-                s, step = states[key]
-                s.seen += 1
-                s.size = step(s, float(seconds), float(memory))
-                sizes.append(s.size)
-            yield pd.DataFrame({by: rows[by], "event_id": rows["event_id"], "batch_size": sizes})
-
-    kind = dict(telemetry.dtypes)[by]
-    ordered = telemetry.select(by, "ts", "event_id", "processing_time", "memory").repartition(by).sortWithinPartitions(by, "ts", "event_id")
-    return ordered.mapInPandas(run, f"{by} {kind}, event_id long, batch_size int")
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Targets and factors of the rules: fixed values.
+LOW, HIGH, START = 1, 64, 8
+GROWTH, SHRINK = "1.2e0", "0.7e0"
+
+#: What the rules look at besides batch_size, processing_time and memory: by stream (`own`, in order), its last ten and five rows, the ten
+#: before the last ten, and all rows before.
+WINDOWS = {
+    "n": "row_number() OVER ({own})",
+    "now": "coalesce(batch_size / nullif(processing_time, 0), 0)",
+    "mean10": "avg(coalesce(batch_size / nullif(processing_time, 0), 0)) OVER ({own} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
+    "mean5": "avg(coalesce(batch_size / nullif(processing_time, 0), 0)) OVER ({own} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
+    "earlier": "coalesce(sum(batch_size) OVER ({own} ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) / nullif(sum(processing_time) OVER ({own} ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING), 0), 0)",
+}
+#: Whether memory (seconds) went over its target after it was last well below: sticky limits.
+LIMITS = {
+    "memory_bound": "coalesce(max(CASE WHEN memory > 0.7e0 THEN n END) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > coalesce(max(CASE WHEN memory < 0.7e0 * 0.7e0 THEN n END) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
+    "latency_bound": "coalesce(max(CASE WHEN processing_time > 2e0 THEN n END) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > coalesce(max(CASE WHEN processing_time < 1e0 THEN n END) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
+}
+
+RULES = {
+    # memory, then seconds, then the trend of samples per second; else a little more
+    "throughput": f"""CASE WHEN memory > 0.7e0 THEN batch_size * ({SHRINK} * (memory / 0.7e0))
+  WHEN memory < 0.7e0 - 0.1e0 AND batch_size < {HIGH} AND processing_time < 2e0 THEN batch_size * least({GROWTH} * (1 + (0.7e0 - memory)), 2e0)
+  WHEN processing_time > 2e0 THEN batch_size * {SHRINK} / (processing_time / 2e0)
+  WHEN processing_time < 2e0 * 0.7e0 THEN batch_size * {GROWTH}
+  WHEN n < 2 THEN batch_size WHEN mean10 > earlier THEN batch_size * {GROWTH} WHEN mean10 < earlier * 0.95e0 THEN batch_size * {SHRINK} ELSE batch_size * 1.05e0 END""",
+    # limits that were met stick; free of them one up or down as a batch leaves the mean of five by a tenth
+    "steady": """CASE WHEN memory > 0.7e0 THEN batch_size * (0.8e0 / greatest(1e0, memory / 0.7e0))
+  WHEN memory < 0.7e0 - 0.1e0 AND memory_bound THEN batch_size * least(1.2e0, 1 + (0.7e0 - memory))
+  WHEN processing_time > 2e0 THEN batch_size * (0.9e0 / greatest(1e0, processing_time / 2e0))
+  WHEN processing_time < 2e0 * 0.7e0 AND latency_bound THEN batch_size * least(1.2e0, 1 + (1 - processing_time / 2e0) * 0.5e0)
+  WHEN n <= 2 THEN batch_size WHEN now > mean5 * 1.1e0 THEN batch_size + 1 WHEN now < mean5 * 0.9e0 THEN batch_size - 1 ELSE batch_size END""",
+    # nothing for two batches; then a fifth up while there is room (two up if the projected memory is too much), a fifth down if not
+    "warm_up": f"""CASE WHEN n < 3 THEN batch_size
+  WHEN memory < 0.7e0 * 0.8e0 AND processing_time < 0.5e0 THEN
+    CASE WHEN memory * (least(floor(batch_size * {GROWTH}), {HIGH}) / batch_size) > 0.7e0 THEN batch_size + 2 ELSE batch_size * {GROWTH} END
+  WHEN memory > 0.7e0 OR processing_time > 2e0 THEN batch_size * 0.8e0 ELSE batch_size END""",
+    "one_step": "CASE WHEN memory > 0.8e0 THEN batch_size - 1 WHEN memory < 0.5e0 AND processing_time / batch_size < 0.5e0 THEN batch_size + 1 ELSE batch_size END",
+    # more than ten seconds after the batch before: two up below 0.01 s a sample, two down above 0.1, not below the start
+    "per_sample": f"""CASE WHEN pause <= 10 THEN batch_size WHEN processing_time / batch_size < 0.01e0 THEN batch_size + 2
+  WHEN processing_time / batch_size > 0.1e0 AND batch_size > {START} THEN greatest({START}, batch_size - 2) ELSE batch_size END""",
+    # five seconds or more after the batch before: the smaller gap to both targets, halved, at most half of the size, within free memory
+    "gap": """CASE WHEN pause < 5 THEN batch_size ELSE
+  least(floor(batch_size * (1 + greatest(-0.5e0, least(0.5e0, least((80e0 - cpu) / 100, (80e0 - memory * 100) / 100) * 0.5e0)))), floor(room * 0.7e0)) END""",
+}
+
+
+def recorded(telemetry: DataFrame, by: str) -> DataFrame:
+    """telemetry (by, ts, event_id, batch_size, processing_time, memory) with what the rules look at; pause: seconds since the batch
+    before (a day at the first). cpu (percent) and room (samples that free memory holds), for `gap`, come with the telemetry."""
+    own = f"PARTITION BY {by} ORDER BY ts, event_id"
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    before = F.lag(seconds).over(Window.partitionBy(by).orderBy("ts", "event_id"))
+    out = telemetry.withColumn("pause", F.coalesce(seconds - before, F.lit(86400.0)))
+    for group in (WINDOWS, LIMITS):
+        out = out.withColumns({c: F.expr(e.format(own=own)) for c, e in group.items()})
+    return out
+
+
+def clamped(size: str) -> str:
+    return f"CAST(greatest({LOW}, least({HIGH}, floor({size}))) AS INT)"
+
+
+def advised(telemetry: DataFrame, by: str, rule: str) -> DataFrame:
+    """by, event_id and advice, the size that the rule advises after each batch, within LOW and HIGH."""
+    return recorded(telemetry, by).select(by, "event_id", F.expr(clamped(RULES[rule])).alias("advice"))
+
+
+def best_mean(telemetry: DataFrame, by: str, least: int = 5) -> DataFrame:
+    """by and advice: the size of the highest mean samples per second of each stream (ties: the smaller); with fewer than `least`
+    batches the largest seen. One aggregation by stream and size, one by stream."""
+    rate = F.coalesce(F.try_divide(F.col("batch_size").cast("double"), F.col("processing_time")), F.lit(0.0))
+    sizes = telemetry.groupBy(by, "batch_size").agg(F.avg(rate).alias("mean"), F.count("*").alias("n"))
+    best = F.max_by("batch_size", F.struct("mean", -F.col("batch_size")))
+    advice = F.when(F.sum("n") < least, F.max("batch_size")).otherwise(best)
+    return sizes.groupBy(by).agg(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), advice)).cast("int").alias("advice"))

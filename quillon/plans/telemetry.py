@@ -155,13 +155,38 @@ def success_rate(spark: SparkSession, sf: str) -> DataFrame:
     return _r(found, 6)
 
 
-def _replay(rule: str):
+# Sizes that the rules advise after recorded batches; size / 64 stands for the share of memory, seconds for the load.
+_R = (
+    _T.replace(" FROM events)", ", (CAST(props->>'$.k' AS INTEGER) % 64 + 1) / 64e0 AS memory, least(1, value / 1000) * 100 AS cpu, 64 - (CAST(props->>'$.k' AS INTEGER) % 64) AS room FROM events)")
+    + f", p AS (SELECT *, coalesce(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER {_W}), 86400e0) AS pause"
+    + "".join(f", {e.format(own=_W[1:])} AS {c}" for c, e in control.WINDOWS.items())
+    + " FROM t), r AS (SELECT *"
+    + "".join(f", {e.format(own=_W[1:])} AS {c}" for c, e in control.LIMITS.items())
+    + " FROM p) "
+)
+
+
+def _recorded(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("batch_size")
+    return batches(spark, sf).withColumns({"memory": size / 64.0, "cpu": F.least(F.lit(1.0), F.col("processing_time")) * 100, "room": 65 - size})
+
+
+def _advised(rule: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = batches(spark, sf).withColumn("memory", (F.col("batch_size") / 64.0))
-        return control.replay(rows, "user_id", rule)
+        return control.advised(_recorded(spark, sf), "user_id", rule)
 
     return run
 
 
-for _rule in control.RULES:
-    plans.query(name=f"batch_size_{_rule}")(_replay(_rule))
+for _rule, _expression in control.RULES.items():
+    plans.query(_R + f"SELECT user_id, event_id, {control.clamped(_expression)} AS advice FROM r", f"batch_size_{_rule}")(_advised(_rule))
+
+
+@plans.query(
+    _T
+    + """, m AS (SELECT user_id, batch_size, avg(coalesce(batch_size / nullif(processing_time, 0), 0)) AS mean, count(*) AS n FROM t GROUP BY ALL)
+SELECT user_id, CAST(CASE WHEN sum(n) < 5 THEN max(batch_size) ELSE arg_max(batch_size, (mean, -batch_size)) END AS INTEGER) AS advice FROM m GROUP BY user_id""",
+    "batch_size_best_mean",
+)
+def batch_size_best_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return control.best_mean(batches(spark, sf), "user_id")

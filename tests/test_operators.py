@@ -178,17 +178,33 @@ def test_plan_defaults(spark):
     assert agents.report(agents.executed(agents.planned(tasks, known)), "id").first()["report"].count("\n") == 1
 
 
+#: By rule: batches of one stream as (size, seconds, share of memory, seconds since the batch before), and the sizes advised, by hand.
+ADVICE = {
+    "throughput": ([(10, 1.0, 0.8, 1), (10, 1.0, 0.5, 1), (10, 4.0, 0.65, 1), (10, 1.0, 0.65, 1), (64, 1.0, 0.1, 1)], [8, 14, 3, 12, 64]),
+    "steady": ([(10, 1.5, 0.8, 1), (10, 1.5, 0.5, 1), (10, 4.0, 0.65, 1), (10, 1.2, 0.65, 1), (20, 1.5, 0.65, 1), (5, 1.5, 0.65, 1)], [7, 12, 4, 12, 21, 4]),
+    "warm_up": ([(10, 0.1, 0.1, 1), (10, 0.1, 0.1, 1), (10, 0.1, 0.1, 1), (20, 0.1, 0.55, 1), (10, 3.0, 0.1, 1), (10, 1.0, 0.1, 1), (4, 0.1, 0.55, 1)], [10, 10, 12, 24, 8, 10, 4]),
+    "one_step": ([(10, 1.0, 0.9, 1), (10, 1.0, 0.1, 1), (10, 6.0, 0.1, 1), (1, 1.0, 0.9, 1)], [9, 11, 10, 1]),
+    "per_sample": ([(10, 0.05, 0.1, 1), (10, 0.05, 0.1, 5), (10, 0.05, 0.1, 11), (10, 2.0, 0.1, 11), (9, 2.0, 0.1, 11), (8, 2.0, 0.1, 11)], [12, 10, 12, 8, 8, 8]),
+    "gap": ([(40, 0.3, 0.3, 1), (40, 0.3, 0.3, 4), (40, 1.0, 0.3, 6), (40, 0.3, 1.0, 6)], [50, 40, 36, 36]),
+}
+
+
 @pytest.mark.parametrize("rule", sorted(control.RULES))
-def test_controllers_follow_the_fold(spark, rule):
-    rows = [(u, k, k, 0.01 * (k % 7), (k % 10) / 10) for u in (1, 2) for k in range(40)]
-    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, processing_time double, memory double").repartition(3)
-    got = {(r["user_id"], r["event_id"]): r["batch_size"] for r in control.replay(df, "user_id", rule).collect()}
-    for u in (1, 2):
-        state, step = control.State(8), control.RULES[rule]()
-        for k in range(40):
-            state.seen += 1
-            state.size = step(state, 0.01 * (k % 7), (k % 10) / 10)
-            assert got[(u, k)] == state.size and 1 <= state.size <= 64
+def test_advised_sizes(spark, rule):
+    batches, want = ADVICE[rule]
+    rows, at = [], 0
+    for k, (size, seconds, memory, pause) in enumerate(batches):
+        at += pause
+        rows += [(u, at, k, size, seconds, memory, min(1.0, seconds) * 100, 1000) for u in (1, 2)]
+    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, batch_size int, processing_time double, memory double, cpu double, room int").repartition(3)
+    got = {(r["user_id"], r["event_id"]): r["advice"] for r in control.advised(df, "user_id", rule).collect()}
+    assert [[got[u, k] for k in range(len(want))] for u in (1, 2)] == [want, want]
+
+
+def test_best_mean(spark):
+    rows = [(1, k, k, [8, 16][k % 2], [0.5, 2.0][k % 2]) for k in range(6)] + [(2, k, k, 10 + k, 1.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, batch_size int, processing_time double")
+    assert {(r["user_id"], r["advice"]) for r in control.best_mean(df, "user_id").collect()} == {(1, 8), (2, 12)}
 
 
 def test_encoders(spark):
