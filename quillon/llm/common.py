@@ -22,21 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests, one machine), a temporary folder that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder is made and kept
+    in the session if all runs on one machine (local masters); on a cluster executors wouldn't see it: ValueError."""
     conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("quillon.shared.dir", None)
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillon.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("quillon.shared.dir", root)
     return root
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back, which cuts its lineage."""
+    """df written as Parquet into the shared folder and read back, which cuts its lineage. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
