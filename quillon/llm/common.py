@@ -60,6 +60,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             end = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
             yield batch.slice(at, end - at)
             at, done = end, int(size[end - 1])
+        pa.default_memory_pool().release_unused()  # Python workers live on, and what they keep counts against the executor
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

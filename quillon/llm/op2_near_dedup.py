@@ -36,7 +36,7 @@ SHINGLES = 1 << 20
 #: Bits of the bitmap that goes out before texts are gathered by id (2 MB as a bit each).
 BITMAP = 1 << 24
 #: Elements whose permutations are held at once.
-ELEMENTS = 1 << 16
+ELEMENTS = 1 << 15
 
 
 def superminhash(values: np.ndarray, first: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -219,9 +219,11 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(held.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = np.unpackbits(shared.value, bitorder="little").view(bool)
         for b in batches:
-            yield b.filter(pa.array(some[b.column("spot").to_numpy()])).select(["doc_id", "text"])
+            at = b.column("spot").to_numpy()
+            some = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+            yield b.filter(pa.array(some)).select(["doc_id", "text"])
+        pa.default_memory_pool().release_unused()
 
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, text string")
     return some.join(ids.hint("merge"), "doc_id", "left_semi").distinct()
