@@ -48,8 +48,8 @@ def every(df: DataFrame, by: list[str], k: int) -> DataFrame:
 def running(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Running count, sum, best so far and elapsed seconds since the first row."""
     own = in_order(by).rowsBetween(Window.unboundedPreceding, 0)
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return df.withColumns({"n": F.count("*").over(own), "total": F.sum(value).over(own), "best": F.max(value).over(own), "elapsed": seconds - F.first(seconds).over(own)})
+    at = F.unix_micros(F.col("ts").cast("timestamp"))  # whole numbers until after the difference
+    return df.withColumns({"n": F.count("*").over(own), "total": F.sum(value).over(own), "best": F.max(value).over(own), "elapsed": (at - F.first(at).over(own)) / 1e6})
 
 
 def batches(df: DataFrame, by: list[str], size: int) -> DataFrame:
@@ -79,8 +79,8 @@ def carried(df: DataFrame, by: list[str], adjusted: str) -> DataFrame:
 
 def sampled_rate(df: DataFrame, by: list[str], n: int = 100) -> DataFrame:
     """Operations per second of each stretch of n rows."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return batches(df, by, n).groupBy(*by, "batch").agg(F.count("*").alias("ops"), ratio(F.count("*"), F.max(seconds) - F.min(seconds)).alias("ops_per_s"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return batches(df, by, n).groupBy(*by, "batch").agg(F.count("*").alias("ops"), ratio(F.count("*"), (F.max(at) - F.min(at)) / 1e6).alias("ops_per_s"))
 
 
 def best_batch_size(df: DataFrame, least: int = 5) -> DataFrame:
