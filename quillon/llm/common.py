@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer text is one step of its own.
 CHUNK_BYTES = 1 << 19
+#: Rows and bytes of an Arrow batch between Spark and Python, in place of Spark's 10,000 rows and 64 MB: these buffers lie outside the heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's limits of an Arrow batch to BATCH_ROWS and BATCH_BYTES at most; smaller ones of the user stay. No result depends on them."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back, which cuts its lineage. The files go when the application ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, per_text_sum, table, utf8
+from .common import chunks, fold, per_text_sum, small_batches, table, utf8
 
 #: Training documents per language, the bound of the fitted sample.
 SAMPLE = 400
@@ -117,6 +117,7 @@ def chosen(labelled: DataFrame, sample: int) -> DataFrame:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Tree]:
     """A tree per language of docs (doc_id, text, lang); about `sample` whole documents of each are used at most."""
+    small_batches(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
     counts = chosen(labelled, sample).select("lang", "text").mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.sort_values(["lang", "code"])
