@@ -74,6 +74,12 @@ def downsample(v: Column | str, size: int, narrow: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(narrow)), lambda j: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.element_at(v, k * narrow + j)), F.lit(0.0), lambda s, x: s + x) / parts)
 
 
+def pooled(v: Column | str, size: int, narrow: int) -> Column:
+    """A vector of `size` elements as `narrow` means of neighbours that cover it, overlapping where narrow does not divide size."""
+    spans = [(j * size // narrow, -(-(j + 1) * size // narrow)) for j in range(narrow)]
+    return F.array(*[mean(F.slice(doubles(v), a + 1, b - a)) for a, b in spans])
+
+
 def total(v: Column | str) -> Column:
     return F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x)
 

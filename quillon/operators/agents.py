@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: The known tasks: task, title, last commit message, last commit date. Fixed values.
+DEFINITIONS = [
+    ("browsing", "Browsing", "initialize project with turborepo", "2 days ago"),
+    ("calendar", "Calendar", "initialize project with turborepo", "2 days ago"),
+    ("call", "Call", "add onto main", "2 days ago"),
+    ("contact_search", "Contact Search", "initialize project with turborepo", "2 days ago"),
+    ("email", "Email", "initialize project with turborepo", "2 days ago"),
+    ("search", "Search", "initialize project with turborepo", "2 days ago"),
+    ("keyboard", "Keyboard Input", "simulate keyboard input", "today"),
+    ("mouse", "Mouse Control", "simulate mouse click", "today"),
+    ("vision", "Screen Capture", "capture screenshot", "today"),
+    ("webbrowse", "Web Browser Control", "simulate browser action", "today"),
+]
+
 
 def parsed(requests: DataFrame, key: str, request: str) -> DataFrame:
     """A row per task of a request: key, place (from 0) and task."""
     return requests.select(key, F.posexplode(T.tasks(request)).alias("place", "task"))
 
 
-def planned(tasks: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Tasks with title, last_commit_message and last_commit_date of their definition (task, ...); unknown tasks get defaults."""
-    joined = tasks.join(definitions, "task", "left")
-    blank = {"title": T.title(F.replace("task", F.lit("_"), F.lit(" "))), "last_commit_message": F.lit("No commit message"), "last_commit_date": F.lit("Unknown")}
+def definitions(spark: SparkSession) -> DataFrame:
+    """The known tasks as a table."""
+    return spark.createDataFrame(DEFINITIONS, "task string, title string, last_commit_message string, last_commit_date string")
+
+
+def planned(tasks: DataFrame, known: DataFrame) -> DataFrame:
+    """Tasks with title, last_commit_message and last_commit_date of their definition (task, ...); an unknown task has its
+    name in capitals as title, and N/A."""
+    joined = tasks.join(known, "task", "left")
+    blank = {"title": T.title("task"), "last_commit_message": F.lit("N/A"), "last_commit_date": F.lit("N/A")}
     return joined.withColumns({c: F.coalesce(F.col(c), d) for c, d in blank.items()})
 
 
 def executed(plan: DataFrame) -> DataFrame:
-    return plan.withColumn("result", F.format_string("Executed %s: %s (%s)", "title", "last_commit_message", "last_commit_date"))
+    """result of each task of a plan; missing details have defaults."""
+    title, said, on = (F.coalesce(F.col(c), F.lit(d)) for c, d in (("title", "Unknown Task"), ("last_commit_message", "N/A"), ("last_commit_date", "N/A")))
+    return plan.withColumn("result", F.format_string("[%s] Executed with commit message '%s' (Committed: %s).", title, said, on))
 
 
 def report(results: DataFrame, key: str) -> DataFrame:

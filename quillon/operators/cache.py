@@ -58,8 +58,22 @@ def read_through(keys: DataFrame, cache: DataFrame, compute) -> DataFrame:
     return found.unionByName(made.join(fresh.select("key", "embedding"), "key").withColumn("hit", F.lit(False)))
 
 
+def _rate() -> Column:
+    return F.coalesce(F.try_divide(F.col("hits").cast("double"), (F.col("hits") + F.col("misses")).cast("double")), F.lit(0.0))
+
+
+def _counts(hit: Column | str) -> list[Column]:
+    hit = F.col(hit) if isinstance(hit, str) else hit
+    return [F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit, 1)).alias("misses"), F.count("*").alias("total")]
+
+
 def stats(lookups: DataFrame, hit: Column | str = "hit", *by: str) -> DataFrame:
     """hits, misses, total and hit_rate (0 without lookups)."""
-    hit = F.col(hit) if isinstance(hit, str) else hit
-    out = lookups.groupBy(*by).agg(F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit, 1)).alias("misses"), F.count("*").alias("total"))
-    return out.withColumn("hit_rate", F.coalesce(F.try_divide(F.col("hits").cast("double"), (F.col("hits") + F.col("misses")).cast("double")), F.lit(0.0)))
+    return lookups.groupBy(*by).agg(*_counts(hit)).withColumn("hit_rate", _rate())
+
+
+def overview(lookups: DataFrame, key: str, at: str, hit: Column | str = "hit") -> DataFrame:
+    """stats with keys, the number of distinct keys, and uptime_s, the whole seconds from the first lookup to the last (0 without any)."""
+    first, last = (F.unix_micros(f(F.col(at).cast("timestamp"))) for f in (F.min, F.max))
+    uptime = F.coalesce(F.floor((last - first) / 1000000), F.lit(0))
+    return lookups.agg(*_counts(hit), F.count_distinct(key).alias("keys"), uptime.alias("uptime_s")).withColumn("hit_rate", _rate())

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import answer_after
+
 Encoder = Callable[[list[str]], np.ndarray]
 _encoders: dict[str, Callable[[], Encoder]] = {}
 _default: list[str] = []
@@ -80,6 +82,20 @@ def score_pairs(pairs: DataFrame, left: str, right: str, scorer: Callable[[list[
     return pairs.withColumn("score", score(left, right))
 
 
+def generated(rows: DataFrame, image: str, prompt: str, generate: Callable[[list, list[str]], list[str]]) -> DataFrame:
+    """rows with output: what a generator says to (image, prompt), without the prompt that it repeats; where it fails, "Error: " and why."""
+
+    @F.pandas_udf("string")
+    def said(images: pd.Series, prompts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(generate(images.tolist(), prompts.fillna("").tolist()))
+        except (ValueError, RuntimeError) as e:
+            return pd.Series([f"Error: {e}"] * len(prompts))
+
+    missing = F.when(F.col(image).isNull(), F.lit("No image available for processing"))
+    return rows.withColumn("output", missing.otherwise(answer_after(said(image, prompt), F.coalesce(prompt, F.lit("")))))
+
+
 def overlap_scorer(left: list[str], right: list[str]) -> np.ndarray:
     """Share of common words: the stand-in for a cross-encoder."""
     sets = [(set(a.lower().split()), set(b.lower().split())) for a, b in zip(left, right, strict=True)]

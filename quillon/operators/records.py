@@ -134,9 +134,29 @@ def blank_arrays(df: DataFrame) -> DataFrame:
     return df.select(*[F.format_string("[%d float values]", F.size(c)).alias(c) if t.startswith("array<") and t[6:-1] in ("float", "double") else F.col(c) for c, t in df.dtypes])
 
 
+def _lines(df: DataFrame, order: list[str], top: list[str], left: str, between: str, right: str) -> DataFrame:
+    line = F.concat(F.lit(left), F.concat_ws(between, *[F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in df.columns]), F.lit(right))
+    head = df.sparkSession.createDataFrame([(k - len(top) + 1, t) for k, t in enumerate(top)], "line_no long, line string")
+    return head.union(ids(df, order, "line_no").select((F.col("line_no") + 1).alias("line_no"), line.alias("line")))
+
+
 def markdown(df: DataFrame, order: list[str]) -> DataFrame:
-    """line_no and line of a markdown table."""
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in df.columns]), F.lit(" |"))
-    spark = df.sparkSession
-    top = spark.createDataFrame([(-1, "| " + " | ".join(df.columns) + " |"), (0, "|" + " --- |" * len(df.columns))], "line_no long, line string")
-    return top.union(df.select(F.row_number().over(Window.orderBy(*order)).cast("long"), line))
+    """line_no and line of a markdown table: head and rule at -1 and 0, rows from 1 on; null: N/A."""
+    return _lines(df, order, ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)], "| ", " | ", " |")
+
+
+def latex(df: DataFrame, order: list[str]) -> DataFrame:
+    """line_no and line of the body of a LaTeX table, in the same order."""
+    return _lines(df, order, [" & ".join(df.columns) + r" \\", r"\hline"], "", " & ", r" \\")
+
+
+def rows_at(df: DataFrame, ordinal: str, asked: DataFrame) -> DataFrame:
+    """The row at each asked ordinal; found: whether it lies within bounds."""
+    return asked.join(df.withColumn("_there", F.lit(True)), ordinal, "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def with_payload(df: DataFrame, fields: dict[str, Column], payload: Column) -> DataFrame:
+    """entry: the fields as a map of strings, with the payload's (a map) over them where both have a key."""
+    own = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), c.cast("string"))])
+    extra = F.coalesce(payload, F.create_map().cast("map<string,string>"))
+    return df.withColumn("entry", F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(extra, k)), extra))

@@ -124,6 +124,12 @@ def rerank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(order))
 
 
+def rescored(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """Candidates (query_id, id) by new scores (query_id, id, score), 0 for all others."""
+    joined = candidates.select("query_id", "id").join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left")
+    return joined.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+
+
 def softmax(scores: DataFrame, scale: float = 100.0) -> DataFrame:
     """scores (query_id, id, score) with the softmax of scale * score within each query."""
     own = Window.partitionBy("query_id")

@@ -66,6 +66,27 @@ def runs(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.withColumn("streak", F.row_number().over(Window.partitionBy(*by, "run").orderBy(*ORDER)))
 
 
+def reset_runs(df: DataFrame, by: list[str], value: str, most: int = 3) -> DataFrame:
+    """counter: consecutive rises or falls, starting anew after `most`; fires: whether it is there. Rows that neither rise nor fall: 0."""
+    df = runs(df, by, value)
+    moved = F.coalesce(F.col("direction") != 0, F.lit(False))
+    df = df.withColumn("counter", F.when(moved, (F.col("streak") - 1) % most + 1).otherwise(0))
+    return df.withColumn("fires", F.col("counter") == most)
+
+
+def best_so_far(df: DataFrame, by: list[str], value: str, of: str) -> DataFrame:
+    """best and best_at: the greatest value up to each row, and `of` of its (first) row."""
+    so_far, before = (in_order(by).rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    fresh = F.coalesce(F.col(value) > F.max(value).over(before), F.col(value).isNotNull())
+    df = df.withColumn("best", F.max(value).over(so_far)).withColumn("_at", F.when(fresh, F.col(of)))
+    return df.withColumn("best_at", F.last("_at", ignorenulls=True).over(so_far)).drop("_at")
+
+
+def per_sample(df: DataFrame, amount: str, samples: str, *by: str) -> DataFrame:
+    """Mean of an amount (memory, seconds) over the rows that have one, and its sum per sample (0 without samples)."""
+    return df.groupBy(*by).agg(F.avg(amount).alias("mean"), ratio(F.sum(amount), F.sum(F.when(F.col(amount).isNotNull(), F.col(samples)))).alias("per_sample"))
+
+
 def improvement(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """First and last value of each stream and the last over the first."""
     first, final = F.min_by(value, F.struct(*ORDER)), F.max_by(value, F.struct(*ORDER))

@@ -54,15 +54,27 @@ def parsed_requests(spark: SparkSession, sf: str) -> DataFrame:
     return _tasks(spark, sf)
 
 
+_PLANNED = (
+    _TASKS
+    + ", known(task, title, said, on_day) AS (VALUES "
+    + ", ".join(str(d) for d in agents.DEFINITIONS)
+    + """), j AS (SELECT id, place, p.task, coalesce(title, array_to_string(list_transform(string_split(p.task, '_'), lambda w: upper(w[1]) || w[2:]), '_')) AS title, coalesce(said, 'N/A') AS said, coalesce(on_day, 'N/A') AS on_day FROM p LEFT JOIN known ON known.task = p.task) """
+)
+
+
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("browsing").alias("task"), F.col("r_name").alias("title"), F.lit("m").alias("last_commit_message"), F.lit("d").alias("last_commit_date"))
-    return agents.planned(_tasks(spark, sf), known)
+    return agents.planned(_tasks(spark, sf), agents.definitions(spark))
 
 
-@plans.query(_TASKS + "SELECT id, place, task, coalesce(CASE WHEN task = 'browsing' THEN 'm' END, 'No commit message') AS last_commit_message, coalesce(CASE WHEN task = 'browsing' THEN 'd' END, 'Unknown') AS last_commit_date FROM p")
+@plans.query(_PLANNED + "SELECT id, place, task, title, said AS last_commit_message, on_day AS last_commit_date FROM j")
 def plans_joined(spark: SparkSession, sf: str) -> DataFrame:
     """Tasks with their definitions, or defaults."""
-    return _plan(spark, sf).select("id", "place", "task", "last_commit_message", "last_commit_date")
+    return _plan(spark, sf).select("id", "place", "task", "title", "last_commit_message", "last_commit_date")
+
+
+@plans.query(_PLANNED + "SELECT id, place, '[' || title || '] Executed with commit message ' || chr(39) || said || chr(39) || ' (Committed: ' || on_day || ').' AS result FROM j")
+def executed_plans(spark: SparkSession, sf: str) -> DataFrame:
+    return agents.executed(_plan(spark, sf)).select("id", "place", "result")
 
 
 @plans.query(_TASKS + ", e AS (SELECT id, place, '- ' || task AS line FROM p) SELECT id, string_agg(line, chr(10) ORDER BY place) AS report FROM e GROUP BY id")

@@ -84,11 +84,11 @@ def blank_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return records.blank_arrays(table(spark, sf, "embeddings"))
 
 
-@plans.query("WITH p AS (SELECT batch, avg(v) AS cpu FROM (SELECT CAST(l_quantity AS INTEGER) AS batch, l_extendedprice AS v FROM lineitem WHERE l_returnflag = 'N') GROUP BY 1), g AS (SELECT CAST(l_quantity AS INTEGER) AS batch, avg(l_extendedprice) AS gpu FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 25 GROUP BY 1) SELECT batch, round(cpu, 4) AS cpu, coalesce(printf('%.2f', gpu), 'N/A') AS gpu FROM p LEFT JOIN g USING (batch)")
+@plans.query("WITH p AS (SELECT batch, avg(v) AS cpu FROM (SELECT CAST(l_quantity AS INTEGER) AS batch, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'N') GROUP BY 1), g AS (SELECT CAST(l_quantity AS INTEGER) AS batch, avg(l_extendedprice) AS gpu FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 25 GROUP BY 1) SELECT batch, cpu, coalesce(printf('%.2f', gpu), 'N/A') AS gpu FROM p LEFT JOIN g USING (batch)")
 def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
-    """Two result sets by batch size; the second may lack rows."""
+    """Two result sets by batch size, one in cents so that its sums are exact; the second may lack rows."""
     rows = table(spark, sf, "lineitem").withColumn("batch", F.col("l_quantity").cast("int"))
-    cpu = rows.where("l_returnflag = 'N'").groupBy("batch").agg(F.round(F.avg("l_extendedprice"), 4).alias("cpu"))
+    cpu = rows.where("l_returnflag = 'N'").groupBy("batch").agg(F.avg(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cpu"))
     gpu = rows.where("l_returnflag = 'R' AND l_quantity < 25").groupBy("batch").agg(F.avg("l_extendedprice").alias("g"))
     return cpu.join(gpu, "batch", "left").select("batch", "cpu", F.when(F.col("g").isNull(), "N/A").otherwise(F.format_string("%.2f", "g")).alias("gpu"))
 

@@ -77,6 +77,65 @@ def files(spark: SparkSession, folder: str, endings: tuple[str, ...], recursive:
     return found.select("path", name.alias("name"), F.replace(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), F.lit(" ")).alias("caption"), "length", "content")
 
 
+def listing(found: DataFrame, n: int | None = None) -> DataFrame:
+    """Files by path, the first n of them."""
+    found = found.orderBy("path")
+    return found if n is None else found.limit(n)
+
+
+def float_arrays(found: DataFrame) -> DataFrame:
+    """path and embedding of every array of .npz archives (path, content), each flattened and named path:key."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        for rows in frames:
+            for path, content in zip(rows["path"], rows["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
+                    for key in arrays.files:
+                        yield pd.DataFrame({"path": [f"{path}:{key}"], "embedding": [np.asarray(arrays[key], np.float32).reshape(-1).tolist()]})
+
+    return found.select("path", "content").mapInPandas(run, "path string, embedding array<float>")
+
+
+def snapshot(spark: SparkSession, folder: str, names: tuple[str, ...], key: str, metadata: str = "metadata") -> DataFrame:
+    """The first of the named snapshots of a folder that is there, with the folder's metadata by key where it has any."""
+    found = first_readable(*[lambda n=n: spark.read.parquet(f"{folder}/{n}") for n in names])
+    try:
+        known = spark.read.parquet(f"{folder}/{metadata}")
+    except AnalysisException:
+        return found
+    return found.join(known.select(key, *[c for c in known.columns if c not in found.columns]), key, "left")
+
+
+def over_http(url: str, seconds: float) -> bytes:
+    """The body at a url; any status but 200 is an error."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=seconds) as got:
+        if got.status != 200:
+            raise OSError(f"status {got.status}")
+        return got.read()
+
+
+def fetched(urls: DataFrame, there: DataFrame | None = None, get: Callable[[str, float], bytes] = over_http, seconds: float = 30.0, tasks: int = 4) -> DataFrame:
+    """url, content and error of each distinct url that isn't `there` (url) yet. tasks: how many fetch at once. A url that fails has its error."""
+    wanted = urls.select("url").where("url IS NOT NULL").distinct()
+    if there is not None:
+        wanted = wanted.join(there.select("url"), "url", "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for url in rows["url"]:
+                try:
+                    content, error = get(url, seconds), None
+                except OSError as e:
+                    content, error = None, str(e)
+                yield pd.DataFrame({"url": [url], "content": [content], "error": [error]})
+
+    return wanted.repartition(tasks).mapInPandas(run, "url string, content binary, error string")
+
+
 def float_vectors(found: DataFrame) -> DataFrame:
     """path and embedding of files (path, content) that hold raw little-endian 32-bit floats or an .npy array."""
 

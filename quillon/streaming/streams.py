@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from ..functions.rules import ratio
+from ..functions.vectors import normalize
 
 
 def files(spark: SparkSession, path: str, schema: StructType, per_batch: int = 1) -> DataFrame:
@@ -135,6 +136,21 @@ def read_through(spark: SparkSession, keys: DataFrame, cache: str, compute: Call
     each_batch(keys, work, checkpoint)
 
 
+def indexed(stream: DataFrame, encode: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> None:
+    """Encodes every micro-batch and adds key, embedding at length 1 and batch to the folder, which search reads as a table. A
+    repeated batch replaces its own part."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        encode(batch).select("key", normalize("embedding").alias("embedding")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    each_batch(stream, work, checkpoint)
+
+
+def coalesced(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, max_wait_ms: int = 100) -> StreamingQuery:
+    """A running stream whose requests wait at most max_wait_ms before those that came meanwhile are worked on together; the caller stops it."""
+    return df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max_wait_ms} milliseconds").start()
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())

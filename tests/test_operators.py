@@ -174,7 +174,7 @@ def test_plan_defaults(spark):
     tasks = agents.parsed(spark.createDataFrame([(1, "Browsing, foo bar")], "id int, request string"), "id", "request")
     known = spark.createDataFrame([("browsing", "Browse", "msg", "2 days ago")], "task string, title string, last_commit_message string, last_commit_date string")
     got = [(r["task"], r["title"], r["last_commit_date"]) for r in agents.planned(tasks, known).orderBy("place").collect()]
-    assert got == [("browsing", "Browse", "2 days ago"), ("foo_bar", "Foo Bar", "Unknown")]
+    assert got == [("browsing", "Browse", "2 days ago"), ("foo_bar", "Foo_Bar", "N/A")]
     assert agents.report(agents.executed(agents.planned(tasks, known)), "id").first()["report"].count("\n") == 1
 
 

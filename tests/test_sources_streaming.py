@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import agents, telemetry
+from quillon.operators import agents, encoders, search, telemetry
 from quillon.sources import readers, writers
 from quillon.sources.readers import table
 from quillon.streaming import streams
@@ -131,3 +131,69 @@ def test_deduplicated_and_transcripts(spark, sf, tmp_path, events):
     source = streams.files(spark, f"{tmp_path}/talk", talk.schema).select(F.col("conv_id").alias("key"), "turn", "role", "text")
     streams.each_batch(streams.transcripts(source), lambda b, n: seen.update({r["key"]: r["transcript"] for r in b.collect()}), f"{tmp_path}/tc", "update")
     assert seen == {r["conv_id"]: r["transcript"] for r in agents.transcript(talk).collect()}
+
+
+def test_listing_and_arrays(spark, tmp_path):
+    for name in ("b", "a"):
+        np.savez(tmp_path / f"{name}.npz", x=np.ones((2, 2), np.float32), y=np.zeros(3, np.float32))
+    found = readers.listing(readers.files(spark, str(tmp_path), ("npz",)), 1)
+    assert [r["name"] for r in found.collect()] == ["a.npz"]
+    got = {r["path"].rsplit("/", 1)[1]: r["embedding"] for r in readers.float_arrays(found).collect()}
+    assert got == {"a.npz:x": [1.0] * 4, "a.npz:y": [0.0] * 3}
+
+
+def test_snapshot_preference(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2.0)], "id long, v double")
+    rows.write.parquet(f"{tmp_path}/base")
+    first = lambda: readers.snapshot(spark, str(tmp_path), ("large", "base"), "id")
+    assert first().columns == ["id", "v"]
+    spark.createDataFrame([(1, "n")], "id long, name string").write.parquet(f"{tmp_path}/metadata")
+    rows.withColumn("v", F.lit(3.0)).write.parquet(f"{tmp_path}/large")
+    assert [tuple(r) for r in first().collect()] == [(1, 3.0, "n")]
+
+
+def test_fetched(spark, tmp_path):
+    def get(url, seconds):
+        if "bad" in url:
+            raise OSError("status 404")
+        return url.encode()
+
+    urls = spark.createDataFrame([("u/1",), ("u/1",), ("u/2",), ("u/bad",), (None,)], "url string")
+    got = readers.fetched(urls, urls.where("url = 'u/2'"), get).collect()
+    assert {(r["url"], r["content"] and bytes(r["content"]), r["error"]) for r in got} == {("u/1", b"u/1", None), ("u/bad", None, "status 404")}
+
+
+def test_generated(spark):
+    rows = spark.createDataFrame([(1, "What?"), (None, "What?"), (2, None)], "image int, prompt string")
+    good = encoders.generated(rows, "image", "prompt", lambda images, prompts: [f"{p} seen {i:.0f}" for i, p in zip(images, prompts, strict=True)])
+    assert [r["output"] for r in good.collect()][:2] == ["seen 1", "No image available for processing"]
+
+    def fails(images, prompts):
+        raise ValueError("no model")
+
+    assert encoders.generated(rows.limit(1), "image", "prompt", fails).first()["output"] == "Error: no model"
+
+
+def test_index_resumes_and_is_searched(spark, sf, tmp_path):
+    """A stream that ends and goes on from its checkpoint encodes each row once; the folder is searched as a table."""
+    rows = table(spark, sf, "benchmark")
+    folder, encode = f"{tmp_path}/index", lambda b: encoders.encode(b, "item_id", "text").withColumnRenamed("item_id", "key")
+    for part in (0, 1):
+        rows.where(F.col("item_id") % 2 == part).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.indexed(streams.files(spark, f"{tmp_path}/in", rows.schema), encode, folder, f"{tmp_path}/c")
+    held = spark.read.parquet(folder)
+    assert held.count() == held.select("key").distinct().count() == rows.count()
+    index = held.select(F.col("key").alias("vec_id"), "embedding")
+    best = search.top_k(index, index, 1)
+    assert best.where("score < 0.999").count() == 0 and best.count() == rows.count()
+
+
+def test_coalesced(spark, sf, tmp_path, events):
+    rows, stream = events
+    seen: list[int] = []
+    query = streams.coalesced(stream, lambda b, n: seen.append(b.count()), f"{tmp_path}/c", 50)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sum(seen) == rows.count()
