@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import agents, cache, quality, records, retrieval, telemetry, text
+from . import agents, cache, quality, records, retrieval, shapes, telemetry, text
 from .registry import Query
 
 FLAGSHIP = "retrieval_metrics"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _plan in (retrieval, quality, cache, telemetry, text, records, agents):
+for _plan in (retrieval, quality, cache, telemetry, text, records, agents, shapes):
     QUERIES |= _plan.plans.queries
     ORACLES |= _plan.plans.oracles
