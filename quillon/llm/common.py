@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch between Spark and Python, in place of Spark's 10,000 rows and 64 MB: these buffers lie outside the heap.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Bytes whose words are hashed at once; a longer word is hashed alone.
+SPAN_BYTES = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,15 @@ def fold(col: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def give_back() -> None:
+    """Returns what this worker no longer uses to the system: Python workers live on, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each piece stay near limit bytes."""
     for batch in batches:
@@ -73,7 +85,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             end = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
             yield batch.slice(at, end - at)
             at, done = end, int(size[end - 1])
-        pa.default_memory_pool().release_unused()  # Python workers live on, and what they keep counts against the executor
+        give_back()
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +119,17 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2 ** 64, for i below n."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+    """_BASE ** i and its inverse modulo 2 ** 64, for i below n; kept for spans, not for longer words."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if n <= SPAN_BYTES:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 @dataclass
@@ -142,8 +158,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return Words(np.zeros(0, np.uint64), starts, first)
-    up, down = _powers(n)
-    hashes = np.add.reduceat(_BYTE[data] * up[:n], starts) * down[starts]
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # in spans of whole words, so that powers stay few
+        begin = starts[at]
+        end = max(at + 1, int(np.searchsorted(starts, begin + SPAN_BYTES, "right")) - 1)
+        end = len(starts) if n - begin <= SPAN_BYTES else end
+        span, own = data[begin : starts[end] if end < len(starts) else n], starts[at:end] - begin
+        up, down = _powers(len(span))
+        hashes[at:end] = np.add.reduceat(_BYTE[span] * up[: len(span)], own) * down[own]
+        at = end
     return Words(mix(hashes), starts, first)
 
 

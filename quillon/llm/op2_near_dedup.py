@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, distinct_per_text, mix, per_text_sum, shingles, stored, table, utf8, words
+from .common import chunks, distinct_per_text, give_back, mix, per_text_sum, shingles, stored, table, utf8, words
 from .components import components
 
 REGISTERS, BAND = 252, 6
@@ -223,7 +223,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = b.column("spot").to_numpy()
             some = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
             yield b.filter(pa.array(some)).select(["doc_id", "text"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, text string")
     return some.join(ids.hint("merge"), "doc_id", "left_semi").distinct()
