@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op10_topk import ORACLE as op10_oracle
 from .op10_topk import op10_topk
+from .op11_token_alignment import op11_token_alignment
+from .op12_packing import op12_packing
+from .op13_fill_in_middle import ORACLE as op13_oracle
+from .op13_fill_in_middle import op13_fill_in_middle
 from .op1_html_text import op1_html_text
 from .op2_near_dedup import op2_near_dedup
 from .op3_quality import op3_quality
@@ -30,5 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_topk": op10_topk,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_packing": op12_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op9_url_filter": op9_oracle(), "op10_topk": op10_oracle}
+ORACLES: dict[str, str] = {"op9_url_filter": op9_oracle(), "op10_topk": op10_oracle, "op13_fill_in_middle": op13_oracle}
