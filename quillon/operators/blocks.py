@@ -21,3 +21,16 @@ def met(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table],
     a = left.select("*", spot(lefts).alias("_l"), every(rights).alias("_r"))
     b = right.select("*", every(lefts).alias("_l"), spot(rights).alias("_r"))
     return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInArrow(work, schema)
+
+
+def met_by(on: str, left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, left_rows: int = 1024, right_rows: int = 1 << 14, key: str = "id") -> DataFrame:
+    """met within each value of `on`: the rows that work makes of each pair of blocks of equal `on`. A value that holds more rows
+    than a block on either side is split into as many as it needs, so a hot value is no task of its own. Values that
+    one side lacks make nothing. `on` must have a bounded number of values (cells, buckets), as their counts are sent to every task."""
+    counts = left.groupBy(on).agg(F.count("*").alias("_nl")).join(right.groupBy(on).agg(F.count("*").alias("_nr")), on)
+    parts = F.broadcast(counts.select(on, F.ceil(F.col("_nl") / left_rows).cast("int").alias("_nl"), F.ceil(F.col("_nr") / right_rows).cast("int").alias("_nr")))
+    spot = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(parts, on).select(*left.columns, spot("_nl").alias("_l"), every("_nr").alias("_r"))
+    b = right.join(parts, on).select(*right.columns, every("_nl").alias("_l"), spot("_nr").alias("_r"))
+    return a.groupBy(on, "_l", "_r").cogroup(b.groupBy(on, "_l", "_r")).applyInArrow(work, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import stored
 from .blocks import met
 
 #: Scores that are held at once.
@@ -137,6 +138,32 @@ def softmax(scores: DataFrame, scale: float = 100.0) -> DataFrame:
     return scores.withColumn("e", raised).withColumn("share", F.col("e") / F.sum("e").over(own)).drop("e")
 
 
+def expanded(queries: DataFrame, corpus: DataFrame, hits: int = 10, against: int = 0, rounds: int = 1, keep: float = 1.0, toward: float = 0.75, away: float = 0.15, query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Queries moved by relevance feedback: query_id and v, at length 1. In each round v becomes keep * v + toward * the mean of the `hits`
+    best rows - away * the mean of the `against` rows ranked behind them, all at length 1. A query that finds nothing stays; of a
+    repeated query or row id the greatest vector counts. A round is one search and one aggregation of hits + against rows a query."""
+    if rounds < 1 or hits < 1 or against < 0:
+        raise ValueError("rounds and hits must be at least 1, against at least 0")
+    one = lambda df, i, name: _fit(df, i, vector, False).groupBy(F.col("id").alias(name)).agg(F.max(V.normalize("v")).alias("v"))
+    rows, asked = one(corpus, corpus_id, "id"), one(queries, query_id, "query_id")
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    times = lambda a, x: F.transform(a, lambda y: y * x)
+    for _ in range(rounds):
+        found = top_k(asked, rows, hits + against, query_id="query_id", corpus_id="id", vector="v").join(rows, "id")
+        near = F.sort_array(F.collect_list(F.struct("rank", "v")))  # hits + against rows
+        moved = asked.join(found.groupBy("query_id").agg(near.alias("near")), "query_id", "left")
+
+        def mean(own: Column) -> Column:
+            none = F.transform("v", lambda x: x * 0.0)
+            return times(F.aggregate(own, none, lambda s, r: plus(s, r["v"])), F.try_divide(F.lit(1.0), F.size(own)))
+
+        good, bad = F.filter("near", lambda r: r["rank"] <= hits), F.filter("near", lambda r: r["rank"] > hits)
+        v = F.when(F.size(good) > 0, plus(times(F.col("v"), F.lit(keep)), times(mean(good), F.lit(toward)))).otherwise(F.col("v"))
+        moved = moved.withColumn("v", v).withColumn("v", F.when(F.size(bad) > 0, plus("v", times(mean(bad), F.lit(-away)))).otherwise(F.col("v")))
+        asked = stored(moved.select("query_id", V.normalize("v").alias("v")), "expanded")
+    return asked
+
+
 def combine(texts: DataFrame, images: DataFrame, normalize: bool = True, most: int = 4096) -> DataFrame:
     """Every text of a request with every image as (t + i) / 2. texts (t, v), images (i, v); an empty side: the other as it is.
 
