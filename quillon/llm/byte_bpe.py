@@ -15,17 +15,12 @@ import sentencepiece
 import tiktoken
 import tokenizers
 
+from .op4_bpe import alphabet
+
 #: How files of this kind cut texts before the merges: a fixed value of the format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def alphabet() -> list[str]:
-    """The printable stand-in of each byte: itself where it is printable, else the next free code point from 256 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
 class ByteVocabulary:
     """A byte-level BPE file: no normaliser, no prefix space, merges in the order of ids. Else: ValueError."""
 
@@ -48,6 +43,7 @@ class ByteVocabulary:
         self.pieces = [b""] * self.size
         for t, i in [*ranks.items(), *((t.encode(), i) for t, i in extra.items())]:
             self.pieces[i] = t
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
 
     def encode(self, text: str) -> np.ndarray:
         try:
@@ -69,6 +65,7 @@ class PieceVocabulary:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
         self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.size) for p in [self.model.id_to_piece(i)]]
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)

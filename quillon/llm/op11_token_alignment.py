@@ -69,11 +69,10 @@ class Stretch:
             ids_b.append(np.array(ib if fits else [], np.int64))
         self.first_a, self.first_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]) for ids in (ids_a, ids_b))
         self.a, self.b = np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b).astype(np.int64)
-        long_a, long_b = (np.array([len(p) for p in v.pieces], np.int64) for v in (a, b))
-        self.ends_a, self.ends_b = np.cumsum(long_a[self.a]), np.cumsum(long_b[self.b])
+        self.ends_a, self.ends_b = np.cumsum(a.lengths[self.a]), np.cumsum(b.lengths[self.b])
         self.size_b, self.size = b.size, max(a.size, b.size)
         last_a, last_b = terminals(self.ends_a, self.ends_b)
-        closes = np.unique(last_b)  # the terminal tokens, one a group
+        closes = np.flatnonzero(last_b == np.arange(len(last_b)))  # the terminal tokens, one a group
         self.group_a, self.group_b = np.searchsorted(closes, last_a), np.searchsorted(closes, last_b)
         self.n_groups = np.diff(np.searchsorted(closes, self.first_b))
 
@@ -82,7 +81,8 @@ class Stretch:
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Links of each text; and its distinct pairs with their occurrences, ordered by text and pair: text, pair, times."""
-        ends = np.union1d(self.ends_a, self.ends_b)
+        ends = np.sort(np.concatenate([self.ends_a, self.ends_b]), kind="stable")
+        ends = ends[np.diff(ends, prepend=0) > 0]
         in_a = np.searchsorted(self.ends_a, ends)
         pair = self.a[in_a] * self.size_b + self.b[np.searchsorted(self.ends_b, ends)]
         text = np.searchsorted(self.first_a, in_a, "right") - 1

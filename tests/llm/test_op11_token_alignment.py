@@ -13,8 +13,8 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from quillon.llm import op11_token_alignment as op11
-from quillon.llm.byte_bpe import ByteVocabulary, alphabet
-from quillon.llm.op4_bpe import tokenizer_path
+from quillon.llm.byte_bpe import ByteVocabulary
+from quillon.llm.op4_bpe import alphabet, tokenizer_path
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 STRINGS = ["Hello, world!", " leading and trailing ", "a▁b", "<s>x</s> <unk> <0x41>", "<|endoftext|> here", "naïve Σίσυφος ß ﬁ", "日本語 テスト", "😀👩‍👩‍👧 x", "a\x00b\r\n\tc", "  two   spaces", "\n\n", "é é", "x" * 700]
