@@ -19,22 +19,26 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, give_back, small_batches, table
 
-#: Words after which a worker's cache of encodings starts a new generation; the one before stays in reach.
-CACHE_WORDS = 200_000
+#: Bytes of encodings after which a worker's cache starts a new generation (the one before stays in reach), and what a word takes besides its own bytes.
+CACHE_BYTES, WORD_BYTES = 16 << 20, 400
+#: Pairs of tokens that a worker remembers to go together or not.
+CACHE_PAIRS = 1 << 17
+#: Words of more symbols than this are walked alone, as they share no prefix worth a node.
+LONG = 1 << 12
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODED = "doc_id long, ids array<int>, decoded string"
 
 
-def _alphabet() -> list[str]:
+def alphabet() -> list[str]:
     """The printable stand-in of each byte: itself where it is printable, else the next free code point from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     spare = iter(range(256, 512))
@@ -53,6 +57,8 @@ class PrefixTrie:
             body, mark = (token[: -len(end)], end) if token.endswith(end) and token != end else (token, "")
             sizes.setdefault(body[-2:] + mark, {1}).add(len(body))
         self.lengths = {k: sorted(v, reverse=True) for k, v in sizes.items()}
+        #: Symbols of the longest token: no step looks further back.
+        self.reach = max(map(len, vocab), default=1)
         self.follows: dict[tuple[str, str], bool] = {}
         self.spines: dict[tuple[str, bool], list] = {}
         self.trees: dict[str, tuple] = {}
@@ -110,7 +116,7 @@ class PrefixTrie:
         """Whether the encoding of last + token is [last, token]; last is "" at the start of a word."""
         known = self.follows.get((last, token))
         if known is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) >= CACHE_PAIRS:
                 self.follows.clear()
             known = self.follows[last, token] = self._apart(last, token)
         return known
@@ -140,53 +146,67 @@ class PrefixTrie:
                 j += 1
 
     def encode(self, words: list[str]) -> dict[str, list[str]]:
-        """The tokens of each word."""
+        """The tokens of each word, in time and memory that grow with the symbols."""
         children: list[dict[str, int]] = [{}]
-        up, ends = [0], {}
+        ends: dict[int, list[str]] = {}
+        out: dict[str, list[str]] = {}
         for word in words:
+            if len(word) > LONG:
+                out[word] = self._alone(word)
+                continue
             node = 0
             for c in word[:-1]:
                 nxt = children[node].get(c)
                 if nxt is None:
-                    nxt = children[node][c] = len(up)
+                    nxt = children[node][c] = len(children)
                     children.append({})
-                    up.append(node)
                 node = nxt
             ends.setdefault(node, []).append(word)
-        last, begin = [""] * len(up), [0] * len(up)
-        out: dict[str, list[str]] = {}
-        stack: list[tuple[int, str]] = [(0, "")]
-        path = [0]
+        last, begin = [""] * len(children), [0] * len(children)
+        stack: list[tuple[int, int, str]] = [(0, 0, "")]  # node, depth and the symbols before it, as far as tokens reach
+        path: list[int] = []
+        reach = self.reach
         while stack:
-            node, prefix = stack.pop()
-            depth = len(prefix)
+            node, depth, tail = stack.pop()
             del path[depth:]
             path.append(node)
             if depth:
-                last[node], begin[node] = self._step(prefix, depth, path, last, "")
+                last[node], begin[node] = self._step(tail, depth, path, last, "")
             for word in ends.get(node, ()):
-                token, at = self._step(word, depth + 1, path, last, self.end)
-                tokens = [token]
-                while at:
-                    tokens.append(last[at])
-                    at = begin[at]
-                out[word] = tokens[::-1]
+                token, at = self._step(tail + word[-1], depth + 1, path, last, self.end)
+                out[word] = self._traced(token, at, last, begin)
             for c, child in children[node].items():
-                stack.append((child, prefix + c))
+                stack.append((child, depth + 1, (tail + c)[-reach:]))
         return out
 
-    def _step(self, spelled: str, depth: int, path: list[int], last: list[str], end: str) -> tuple[str, int]:
-        """The last token of the first depth symbols, and the node before it. path: the nodes of the shorter prefixes."""
-        follows = self.follows
-        for long in self.lengths.get(spelled[max(0, depth - 2) : depth] + end, (1,)):
-            if long <= depth:
-                token = spelled[depth - long : depth] + end
+    def _alone(self, word: str) -> list[str]:
+        """The tokens of one word: a walk along its own prefixes, whose nodes are their lengths."""
+        n, reach = len(word), self.reach
+        last, begin = [""] * n, [0] * n
+        for depth in range(1, n):
+            last[depth], begin[depth] = self._step(word[max(0, depth - reach) : depth], depth, range(n), last, "")
+        return self._traced(*self._step(word[max(0, n - reach) :], n, range(n), last, self.end), last, begin)
+
+    @staticmethod
+    def _traced(token: str, at: int, last: list[str], begin: list[int]) -> list[str]:
+        tokens = [token]
+        while at:
+            tokens.append(last[at])
+            at = begin[at]
+        return tokens[::-1]
+
+    def _step(self, tail: str, depth: int, path: Sequence[int], last: list[str], end: str) -> tuple[str, int]:
+        """The last token of the first depth symbols, which end in tail, and the node before it. path: the nodes of the shorter prefixes."""
+        follows, n = self.follows, len(tail)
+        for long in self.lengths.get(tail[-2:] + end, (1,)):
+            if long <= n:
+                token = tail[n - long :] + end
                 if token in self.vocab:
                     before = last[path[depth - long]]
                     known = follows.get((before, token))
                     if known or known is None and self.may_follow(before, token):
                         return token, path[depth - long]
-        raise ValueError(f"no token for {spelled[depth - 1]!r}")
+        raise ValueError(f"no token for {tail[-1]!r}")
 
 
 class Coder:
@@ -205,10 +225,11 @@ class Coder:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.bytes = str.maketrans(dict(enumerate(_alphabet())))
+        self.bytes = str.maketrans(dict(enumerate(alphabet())))
         self.little = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.known: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -227,20 +248,29 @@ class Coder:
         for w in pieces:
             if w not in known:
                 if w in older:
-                    known[w] = older[w]
+                    self._hold(w, *older[w])
                 elif w in self.special:
-                    known[w] = (self.special[w].to_bytes(4, "little"), w)
+                    self._hold(w, self.special[w].to_bytes(4, "little"), w)
                 else:
                     fresh[w] = w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
         coded = self.trie.encode(sorted(set(fresh.values())))
         little = self.little
         for word, spelled in fresh.items():
             tokens = coded[spelled]
-            known[word] = (b"".join([little[t] for t in tokens]), " ".join(tokens))
+            self._hold(word, b"".join([little[t] for t in tokens]), " ".join(tokens))
+
+    def _hold(self, word: str, ids: bytes, decoded: str) -> None:
+        self.known[word] = ids, decoded
+        self.held += WORD_BYTES + len(word) + len(ids) + len(decoded)
 
-    def forget(self) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
+    def forget(self, all_of_it: bool = False) -> None:
+        """Starts a new generation when the cache is full; all_of_it: forgets every word, and how tokens are merged and go together."""
+        if all_of_it:
+            self.known, self.older, self.held = {}, {}, 0
+            for held in (self.trie.follows, self.trie.spines, self.trie.trees):
+                held.clear()
+        elif self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
@@ -266,6 +296,8 @@ def _coded(path: str, batches: Iterator[pa.RecordBatch]):
             found = [known[p] for p in pieces]
             yield doc_id, b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
         own.forget()
+    own.forget(True)  # the worker lives on after this task
+    give_back()
 
 
 def _batches(rows, make, names, most: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -280,6 +312,7 @@ def _batches(rows, make, names, most: int = 2000) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

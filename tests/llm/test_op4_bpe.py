@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 
 import odd
 from tokenizers import Tokenizer
@@ -61,3 +62,30 @@ def test_decode(spark, sf):
     held = {r["doc_id"]: r["decoded"] for r in coded.collect()}
     assert held == {r["doc_id"]: r["text"] for r in op4.decode(coded, path).collect()}
     assert op4.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first()["text"] == ""
+
+
+def test_long_words_in_linear_time():
+    """A word four times as long takes about four times as long, and is encoded right."""
+    trie = op4.coder(op4.tokenizer_path()).trie
+    r = random.Random(8)
+    took = []
+    for n in (50_000, 200_000, 800_000):
+        word = "".join(r.choices("abcdefghijk", k=n))
+        began = time.process_time()
+        tokens = trie.encode([word])[word]
+        took.append(time.process_time() - began)
+        assert "".join(tokens) == word + trie.end
+    assert took[2] < 10 * took[1] + 1 and took[1] < 10 * took[0] + 1
+    text = "".join(r.choices("abcdefghijk", k=20_000))
+    ((_, coded, _),) = op4._coded(op4.tokenizer_path(), iter([batch([text])]))
+    assert memoryview(coded).cast("I").tolist() == brute([text])[0][0]
+
+
+def test_cache_is_bounded_and_emptied(monkeypatch):
+    monkeypatch.setattr(op4, "CACHE_BYTES", 4000)
+    monkeypatch.setattr(op4, "CACHE_PAIRS", 50)
+    own, texts, most = op4.coder(op4.tokenizer_path()), strings(), 0
+    for (text, row), ids in zip(zip(texts, op4._coded(op4.tokenizer_path(), (batch([t]) for t in texts)), strict=True), brute(texts)[0], strict=True):
+        assert memoryview(row[1]).cast("I").tolist() == ids, text
+        most = max(most, len(own.known) + len(own.older), len(own.trie.follows))
+    assert most < 200 and not own.known and not own.older and not own.trie.follows
