@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Names under which sources hold an image or a text: fixed values, the first present counts.
 IMAGE_NAMES = ["image", "img", "pixel_values", "image_data", "picture"]
 TEXT_NAMES = ["text", "caption", "sentence", "description", "label"]
@@ -75,8 +77,9 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str
 
 
 def ids(df: DataFrame, order: list[str], name: str = "id", prefix: str = "") -> DataFrame:
-    """Ids from 0 on in the given order: ranges are counted first, so no task holds all rows."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    """Ids from 0 on in the given order. The rows are written once in ranges of the order, each knowing its range and its place there, and
+    numbered from the sizes of the ranges before; so all ids come from one division into ranges, and no task holds all rows."""
+    spread = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranges")
     sizes = spread.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_f"))
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s", "_f")  # a row a partition
     number = F.col("_m") - F.col("_f") + F.col("_s")

@@ -211,10 +211,10 @@ def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
 @plans.query(
     """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 m AS (SELECT t.vec_id AS t, i.vec_id AS i, list_transform(list_zip(t.e, i.e), lambda p: (p[1] + p[2]) / 2) AS v FROM q t JOIN q i ON t.vec_id % 100 = 0)
-SELECT t, i, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS v FROM m WHERE list_inner_product(v, v) > 0"""
+SELECT t, i, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6) + 0.0) AS v FROM m WHERE list_inner_product(v, v) > 0"""
 )
 def combined_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Every asked text with every image, averaged and normalised."""
     asked, rows = _sides(spark, sf)
     both = search.combine(asked.select(F.col("vec_id").alias("t"), V.doubles("embedding").alias("v")), rows.select(F.col("vec_id").alias("i"), V.doubles("embedding").alias("v")))
-    return both.withColumn("v", F.transform("v", lambda x: F.round(x, 6)))
+    return both.withColumn("v", F.transform("v", lambda x: F.round(x, 6) + 0.0))

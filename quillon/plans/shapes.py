@@ -69,12 +69,12 @@ def unit_or_null(spark: SparkSession, sf: str) -> DataFrame:
 
 @plans.query(
     f"""WITH v AS (SELECT vec_id, list_transform({_E}, lambda x: x * (label % 3) * 40) AS v FROM embeddings)
-SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN list_max(list_transform(v, lambda y: abs(y))) > 10 THEN x / sqrt(list_inner_product(v, v)) ELSE x END, 6)) AS v FROM v"""
+SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN list_max(list_transform(v, lambda y: abs(y))) > 10 THEN x / sqrt(list_inner_product(v, v)) ELSE x END, 6) + 0.0) AS v FROM v"""
 )
 def large_normalized(spark: SparkSession, sf: str) -> DataFrame:
     """Only vectors with an element over 10 are normalised."""
     v = F.transform(V.doubles("embedding"), lambda x: x * (F.col("label") % 3) * 40)
-    return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.transform(V.normalize_if_large("v"), lambda x: F.round(x, 6)).alias("v"))
+    return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.transform(V.normalize_if_large("v"), lambda x: F.round(x, 6) + 0.0).alias("v"))
 
 
 @plans.query(f"SELECT vec_id, list_transform(range(0, 24), lambda j: round(list_avg(({_E})[j * len(embedding) // 24 + 1 : ((j + 1) * len(embedding) + 23) // 24]), 6)) AS pooled FROM embeddings")

@@ -25,10 +25,15 @@ def plain(x):
     if isinstance(x, float):
         return "nan" if math.isnan(x) else round(x, 9) + 0.0
     if isinstance(x, (list, tuple)):
-        return tuple(plain(y) for y in x)
+        return tuple(exact(y) for y in x)
     return x.replace(tzinfo=None) if hasattr(x, "tzinfo") else x
 
 
+def exact(x):
+    """Elements of arrays and structs are compared to the last bit, and 0.0 is not -0.0."""
+    return repr(x) if isinstance(x, float) else plain(x)
+
+
 def rows(names: list[str], data) -> list[tuple]:
     order = sorted(range(len(names)), key=lambda k: names[k])
     return sorted((tuple(plain(r[k]) for k in order) for r in data), key=repr)

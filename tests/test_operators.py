@@ -170,6 +170,24 @@ def test_records(spark):
     assert [r["line"] for r in records.markdown(a, ["id"]).orderBy("line_no").collect()] == ["| id | img |", "| --- | --- |", "| 1 | x |"]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_of_many_rows(spark, adaptive):
+    """Three million rows, with columns besides the key: every id once, in the order of the key."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 3_000_000
+        rows = spark.range(n).select(F.xxhash64("id").alias("k"), F.col("id").alias("other"), F.md5(F.col("id").cast("string")).alias("text")).repartition(16)
+        got = records.ids(rows, ["k"])
+        assert tuple(got.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()) == (n, n, 0, n - 1)
+        # along the ids the keys rise: the id is the number of smaller keys
+        part = got.where("id % 100000 = 0").select("id", "k").orderBy("id").collect()
+        assert [r["k"] for r in part] == sorted(r["k"] for r in part) and len(part) == 30
+        assert got.where(F.col("text") != F.md5(F.col("other").cast("string"))).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_plan_defaults(spark):
     tasks = agents.parsed(spark.createDataFrame([(1, "Browsing, foo bar")], "id int, request string"), "id", "request")
     known = spark.createDataFrame([("browsing", "Browse", "msg", "2 days ago")], "task string, title string, last_commit_message string, last_commit_date string")
