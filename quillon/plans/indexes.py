@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graphs, indexes, keywords, search
+from ..operators import graphs, indexes, keywords, layouts, search
 from ..sources import scratch
 from ..sources.readers import table
 from .registry import Registry
@@ -145,3 +145,10 @@ def search_expanded(spark: SparkSession, sf: str) -> DataFrame:
     asked, rows = _sides(spark, sf)
     moved = search.expanded(asked, rows, 5, 5, 2)
     return _rounded(search.top_k(moved.withColumnRenamed("v", "embedding"), rows, 10, query_id="query_id"))
+
+
+@plans.query()
+def plane_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """A map of all vectors in the plane."""
+    placed = layouts.layout(_sides(spark, sf)[1])
+    return placed.select(F.col("id").alias("vec_id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

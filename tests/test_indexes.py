@@ -11,7 +11,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quillon.operators import graphs, indexes, keywords, search
+from quillon.operators import graphs, indexes, keywords, layouts, search
 from quillon.sources import scratch
 from quillon.sources.readers import table
 
@@ -225,3 +225,44 @@ def test_expanded(spark, vectors):
     assert lone.count() == queries.count()
     with pytest.raises(ValueError):
         search.expanded(queries, rows, 0)
+
+
+def test_layout_keeps_clusters_together(spark):
+    """Eight clusters in 24 dimensions, more rows than landmarks: neighbours in the plane are of the same cluster."""
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((8, 24))
+    rows = spark.createDataFrame([(k, (centres[k % 8] + 0.15 * r.standard_normal(24)).tolist()) for k in range(800)], VECTORS).cache()
+    places = layouts.layout(rows, landmarks=300).cache()
+    assert places.count() == 800 and sorted(map(tuple, places.collect())) == sorted(map(tuple, layouts.layout(rows, landmarks=300).collect()))
+    asked = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"))
+    flat = places.select("id", F.array("x", "y").alias("v"))
+    near = search.top_k(flat.join(asked, "id"), flat, 10, "l2", exclude_self=True, query_id="id", corpus_id="id", vector="v")
+    assert near.agg(F.avg((F.col("query_id") % 8 == F.col("id") % 8).cast("double"))).first()[0] > 0.98
+
+
+def test_layout_keeps_neighbours(spark):
+    """A sheet bent through 24 dimensions: most of the ten nearest rows stay near, and more of them than in two plain directions."""
+    r = np.random.default_rng(11)
+    sheet, waves, shift = r.random((800, 2)), 2 * r.standard_normal((2, 24)), 6.28 * r.random(24)
+    m = np.cos(sheet @ waves + shift)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], VECTORS).cache()
+    asked = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"))
+    cut = rows.select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    kept = [layouts.preservation(rows, p, asked).agg(F.avg("kept")).first()[0] for p in (layouts.layout(rows, landmarks=400), cut)]
+    assert kept[0] > 0.5 and kept[0] > kept[1], kept
+
+
+def test_layout_odd_vectors(spark):
+    rows = odd_vectors(spark)
+    places = layouts.layout(rows, landmarks=100).collect()
+    assert len(places) == 321 and all(math.isfinite(p["x"]) and math.isfinite(p["y"]) for p in places)
+    assert len({(round(p["x"], 9), round(p["y"], 9)) for p in places if p["id"] and p["id"] >= 1000}) <= 100
+    assert layouts.layout(rows.limit(0)).count() == 0 and layouts.layout(rows.where("vec_id < 2")).count() == 2
+    with pytest.raises(ValueError):
+        layouts.layout(rows, 0)
+
+
+def test_strengths():
+    near = np.sort(np.random.default_rng(2).random((50, 15)), axis=1)
+    w = layouts.strengths(near)
+    assert np.allclose(w.sum(1), np.log2(15), atol=1e-6) and (np.diff(w, axis=1) <= 0).all() and (w[:, 0] == 1).all()
