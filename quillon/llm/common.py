@@ -6,8 +6,9 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Bytes of text that one vectorised step looks at; a longer text is one step of its own.
 CHUNK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch between Spark and Python, in place of Spark's 10,000 rows and 64 MB: these buffers lie outside the heap.
@@ -74,8 +76,21 @@ def give_back() -> None:
         pass
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each piece stay near limit bytes."""
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], T]) -> T:
+    """What this worker keeps from task to task under a key whose first part names its owner; chunks for another owner drops it."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each piece stay near limit bytes. Python workers go from one operator's tasks to another's, so
+    what the worker keeps for any other owner than `keep` is dropped first."""
+    for key in [k for k in _kept if k[0] != keep]:
+        del _kept[key]
     for batch in batches:
         if not batch.num_rows:
             continue

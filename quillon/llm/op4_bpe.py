@@ -26,14 +26,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, small_batches, table
+from .common import chunks, kept, small_batches, table
 
 #: Bytes of encodings after which a worker's cache starts a new generation (the one before stays in reach), and what a word takes besides its own bytes.
-CACHE_BYTES, WORD_BYTES = 16 << 20, 400
+CACHE_BYTES, WORD_BYTES = 40 << 20, 250
 #: Pairs of tokens that a worker remembers to go together or not.
-CACHE_PAIRS = 1 << 17
+CACHE_PAIRS = 1 << 19
 #: Words of more symbols than this are walked alone, as they share no prefix worth a node.
 LONG = 1 << 12
+KEPT = "op4"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODED = "doc_id long, ids array<int>, decoded string"
 
@@ -163,20 +164,20 @@ class PrefixTrie:
                 node = nxt
             ends.setdefault(node, []).append(word)
         last, begin = [""] * len(children), [0] * len(children)
-        stack: list[tuple[int, int, str]] = [(0, 0, "")]  # node, depth and the symbols before it, as far as tokens reach
+        stack: list[tuple[int, str]] = [(0, "")]  # node and the symbols it spells: LONG of them at most
         path: list[int] = []
-        reach = self.reach
         while stack:
-            node, depth, tail = stack.pop()
+            node, prefix = stack.pop()
+            depth = len(prefix)
             del path[depth:]
             path.append(node)
             if depth:
-                last[node], begin[node] = self._step(tail, depth, path, last, "")
+                last[node], begin[node] = self._step(prefix, depth, path, last, "")
             for word in ends.get(node, ()):
-                token, at = self._step(tail + word[-1], depth + 1, path, last, self.end)
+                token, at = self._step(word, depth + 1, path, last, self.end)
                 out[word] = self._traced(token, at, last, begin)
             for c, child in children[node].items():
-                stack.append((child, depth + 1, (tail + c)[-reach:]))
+                stack.append((child, prefix + c))
         return out
 
     def _alone(self, word: str) -> list[str]:
@@ -263,32 +264,23 @@ class Coder:
         self.known[word] = ids, decoded
         self.held += WORD_BYTES + len(word) + len(ids) + len(decoded)
 
-    def forget(self, all_of_it: bool = False) -> None:
-        """Starts a new generation when the cache is full; all_of_it: forgets every word, and how tokens are merged and go together."""
-        if all_of_it:
-            self.known, self.older, self.held = {}, {}, 0
-            for held in (self.trie.follows, self.trie.spines, self.trie.trees):
-                held.clear()
-        elif self.held > CACHE_BYTES:
+    def forget(self) -> None:
+        """Starts a new generation when the cache is full."""
+        if self.held > CACHE_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(path: str) -> Coder:
-    """The coder of a file, one per worker process."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    """The coder of a file, one per worker process, with what it has learned from earlier tasks."""
+    return kept((KEPT, path), lambda: Coder(path))
 
 
 def _coded(path: str, batches: Iterator[pa.RecordBatch]):
     own = coder(path)
-    for piece in chunks(batches, "text"):
+    for piece in chunks(batches, "text", keep=KEPT):
         texts = [own.pieces(t) if t else [] for t in piece.column("text").to_pylist()]
         own.learn(set().union(*texts))
         known = own.known
@@ -296,8 +288,6 @@ def _coded(path: str, batches: Iterator[pa.RecordBatch]):
             found = [known[p] for p in pieces]
             yield doc_id, b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
         own.forget()
-    own.forget(True)  # the worker lives on after this task
-    give_back()
 
 
 def _batches(rows, make, names, most: int = 2000) -> Iterator[pa.RecordBatch]:
