@@ -14,8 +14,8 @@ _OWN = "quillon.scratch.dir"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir. Where that is unset and all runs on one machine (local masters), under a temporary
-    folder that goes when Python ends; on a cluster executors wouldn't see such a folder: ValueError."""
+    """A fresh path under spark.checkpoint.dir, which goes when the application ends. Where that is unset and all runs on one machine (local
+    masters), under a temporary folder that goes when Python ends; on a cluster executors wouldn't see such a folder: ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not root:
         if not (spark.conf.get("spark.master", None) or "").startswith("local"):
@@ -23,7 +23,13 @@ def folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(_OWN, root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (jvm := getattr(spark, "_jvm", None)) is not None:  # a remote session leaves the folder to whoever clears the root
+        where = jvm.org.apache.hadoop.fs.Path(own)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return f"{own}/data"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.rules import ratio
 from ..functions.vectors import normalize
+from ..sources.cache_table import BucketedCache
 
 
 def files(spark: SparkSession, path: str, schema: StructType, per_batch: int = 1) -> DataFrame:
@@ -136,6 +137,16 @@ def read_through(spark: SparkSession, keys: DataFrame, cache: str, compute: Call
     each_batch(keys, work, checkpoint)
 
 
+def read_through_table(keys: DataFrame, cache: BucketedCache, compute: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
+    """For each micro-batch of keys (key), adds what the bucketed cache lacks, without moving a cached row. compute gives key and
+    embedding of keys. A batch that is repeated after a failure finds what it wrote, so nothing is written twice."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        cache.put(compute(cache.missing(batch)).withColumn("at", F.current_timestamp()))
+
+    each_batch(keys, work, checkpoint)
+
+
 def indexed(stream: DataFrame, encode: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> None:
     """Encodes every micro-batch and adds key, embedding at length 1 and batch to the folder, which search reads as a table. A
     repeated batch replaces its own part."""
