@@ -37,6 +37,7 @@ class BucketedCache:
 
     def latest(self, since: Column | str | None = None) -> DataFrame:
         """key, embedding and at of the latest row of each key; since: only rows that are as late."""
+        self.spark.catalog.refreshTable(self.name)  # another session, such as a stream's, may have written
         rows = self.spark.table(self.name)
         rows = rows if since is None else rows.where(F.col("at") >= (F.lit(since).cast("timestamp") if isinstance(since, str) else since))
         return rows.groupBy("key").agg(F.max(F.struct("at", "embedding")).alias("r")).select("key", F.col("r.embedding").alias("embedding"), F.col("r.at").alias("at"))
