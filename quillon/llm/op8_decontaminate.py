@@ -1,11 +1,17 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare gapped seeds, then Smith-Waterman alignment of words.
 
-Seeds are the three-word shingles of the benchmark items. A scan finds the documents that hold any
-seed of an item, however frequent, and aligns the item with every stretch of the whole text around such hits. Left out are only
-stretches with too few of the item's words to reach the least score, whatever their order. A document is contaminated by
-an item if the alignment reaches half of the score of a verbatim copy (match 2, mismatch and gap -1).
+A document is contaminated by an item of n words if their alignment (match 2, mismatch and gap -1) reaches half of the score of a
+verbatim copy. Then, of the alignment's words, at most n lie between its matches, at least half of the item's words are matched, and of
+the n - 1 pairs of neighbours in the item at least n / 3 - 1 are matched by words at most REACH apart: u words at the item's ends,
+v within it and w put in cost 2 u + 3 v + w <= n together, and take at most u + 2 v + w / REACH pairs away.
 
-The benchmark goes out in blocks of at most about BLOCK_WORDS words, one scan each, so that
+So an item's seeds are its pairs of neighbours, and one pass over the documents counts how often each stands there. If no copy
+keeps fewer than p of q seeds, every copy has at least k of the q - p + k rarest: these alone are looked for, at distances up to
+REACH, and stretches of 2 n words with k of them are candidates. Items too short for that have single words as seeds, of which every copy
+keeps half. Candidates with too few of the item's words for the least score are left out, all others aligned. Every
+step is a bound, so nothing that the alignment would accept is lost, however frequent its words are.
+
+The benchmark goes out in blocks of at most about BLOCK_WORDS words, two scans each, so that
 what is broadcast is bounded; no document text is shuffled. Null or blank texts and items, and items of
 fewer than three words, match nothing. A null doc_id is reported as null. Repeated documents are all
 reported. Empty tables: no rows. Clashing further columns are not read by matches; clean keeps them.
@@ -17,60 +23,109 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shingles, table, utf8, words
+from .common import Words, chunks, mix, small_batches, table, utf8, words
 
-SEED = 3
+#: Fewest words of an item.
+LEAST_WORDS = 3
+#: Words that two words of a seed may be apart in a document.
+REACH = 3
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 1 << 18
 MATCHES = "doc_id long, item_id long, score double, n_seeds int, from_word int, to_word int"
 _BITS = 22
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * _ONE + second * _TWO)
+
+
+def _single(word: np.ndarray) -> np.ndarray:
+    return mix(word ^ _TWO)
+
+
+def kept_pairs(n: int) -> int:
+    """How many of its pairs of neighbours every copy of an item of n words keeps within REACH."""
+    return -(-n // 3) - 1
 
 
 class _Items:
-    """Benchmark items of a block: their words, and their seeds with item and place."""
+    """Benchmark items of a block: their words and their seeds. rare chooses the seeds that are looked for."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         w = words(*utf8(pa.array(texts, pa.string())))
-        n = np.diff(w.first)
-        fine = np.flatnonzero(n >= SEED)
+        fine = np.flatnonzero(np.diff(w.first) >= LEAST_WORDS)
         self.ids = np.array(ids, np.int64)[fine]
         self.words = [w.hashes[w.first[i] : w.first[i + 1]] for i in fine]
-        got = [shingles(type(w)(x, np.arange(len(x)), np.array([0, len(x)])), SEED)[0] for x in self.words]
-        seeds = np.concatenate(got) if got else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(got)), [len(x) for x in got])
-        place = np.concatenate([np.arange(len(x)) for x in got]) if got else item
-        order = np.lexsort((place, item, seeds))
-        self.seeds, self.item, self.place = seeds[order], item[order], place[order]
-        self.known = np.zeros(1 << _BITS, bool)
-        self.known[self.seeds >> np.uint64(64 - _BITS)] = True
         #: The distinct words of each item, for the bound.
         self.kinds = [np.unique(x) for x in self.words]
         #: An alignment of score s has at least s / MATCH matches.
         self.least = [int(np.ceil(LEAST_SCORE * len(x))) for x in self.words]
+        self.paired = [kept_pairs(len(x)) >= 1 for x in self.words]
+        self._own = [_pair(x[:-1], x[1:]) if p else _single(x) for x, p in zip(self.words, self.paired, strict=True)]
+        self._hold(self._own)
 
-    def may(self, i: int, window: np.ndarray) -> bool:
-        """Whether window has words enough of item i for the least score."""
-        own = self.kinds[i]
-        return len(window) >= self.least[i] and int((own[np.minimum(np.searchsorted(own, window), len(own) - 1)] == window).sum()) >= self.least[i]
+    def _hold(self, own: list[np.ndarray]) -> None:
+        seeds = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        self.seeds, place = np.unique(seeds, return_inverse=True)
+        held = np.unique(np.column_stack([place, item]), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        #: Items of seed k: item[first[k] : first[k + 1]].
+        self.first, self.item = np.searchsorted(held[:, 0], np.arange(len(self.seeds) + 1)), held[:, 1]
+        self.known = np.zeros(1 << _BITS, bool)
+        self.known[self.seeds >> np.uint64(64 - _BITS)] = True
+        self.singles, self.pairs = not all(self.paired), any(self.paired)
+
+    def rare(self, counts: np.ndarray) -> None:
+        """Keeps of each item the rarest seeds, as few as every copy must hold `need` of. counts: of self.seeds, in the documents."""
+        own, self.need = [], []
+        for seeds, paired, x, least in zip(self._own, self.paired, self.words, self.least, strict=True):
+            kept = kept_pairs(len(x)) if paired else least
+            need = -(-kept // 2)
+            order = np.lexsort((seeds, counts[np.searchsorted(self.seeds, seeds)]))
+            own.append(seeds[order[: len(seeds) - kept + need]])
+            self.need.append(need)
+        self._hold(own)
 
-    def hits(self, found: np.ndarray) -> np.ndarray:
-        """Positions in found that hold a seed."""
-        at = np.flatnonzero(self.known[found >> np.uint64(64 - _BITS)])
-        place = np.searchsorted(self.seeds, found[at])
-        place[place == len(self.seeds)] = 0
-        return at[self.seeds[place] == found[at]] if len(self.seeds) else at[:0]
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of words at which a seed begins, and its number; a seed that is there at several distances is there once."""
+        text, at, seed = w.of(), [], []
+        for d in range(REACH + 1):
+            if d and self.pairs:
+                found = _pair(w.hashes[:-d], w.hashes[d:])
+                found[text[:-d] != text[d:]] = 0
+            elif not d and self.singles:
+                found = _single(w.hashes)
+            else:
+                continue
+            there = np.flatnonzero(self.known[found >> np.uint64(64 - _BITS)])
+            place = np.searchsorted(self.seeds, found[there])
+            place[place == len(self.seeds)] = 0
+            good = self.seeds[place] == found[there] if len(self.seeds) else np.zeros(len(there), bool)
+            at.append(there[good])
+            seed.append(place[good])
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        both = np.unique(np.column_stack([np.concatenate(at), np.concatenate(seed)]), axis=0)
+        return both[:, 0], both[:, 1]
 
-    def entries(self, found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, text and entry of each occurrence of a seed; a seed of several items has an entry for each."""
-        at = self.hits(found)
-        low, high = (np.searchsorted(self.seeds, found[at], side) for side in ("left", "right"))
-        many = high - low
-        entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(at, many), np.repeat(np.searchsorted(first, at, "right") - 1, many), entry
+    def stretches(self, i: int, text: np.ndarray, begin: int, end: int) -> list[tuple[int, int]]:
+        """The parts of text[begin:end] that lie in a window of twice the item's length with words enough of item i for the least score."""
+        own, wide = self.kinds[i], 2 * len(self.words[i])
+        part = text[begin:end]
+        there = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
+        sums = np.concatenate([[0], np.cumsum(there)])
+        starts = np.arange(max(1, len(part) - wide + 1))
+        good = starts[sums[np.minimum(starts + wide, len(part))] - sums[starts] >= self.least[i]]
+        if not len(good):
+            return []
+        cut = np.flatnonzero(np.diff(good) > wide) + 1
+        return [(begin + int(g[0]), begin + min(len(part), int(g[-1]) + wide)) for g in np.split(good, cut)]
 
 
 def smith_waterman(windows: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,42 +152,59 @@ def smith_waterman(windows: list[np.ndarray], items: list[np.ndarray]) -> tuple[
 def _found(own: _Items, texts: pa.Array) -> dict[tuple[int, int], tuple[float, int, int, int]]:
     """By text and item, both as positions: the alignments that reach the least score."""
     w = words(*utf8(texts))
-    found, first = shingles(w, SEED)
-    at, doc, seed = own.entries(found, first)
-    item = own.item[seed]
-    diagonal = at - first[doc] - own.place[seed]
-    order = np.lexsort((diagonal, item, doc))
-    doc, item, seed, diagonal = doc[order], item[order], seed[order], diagonal[order]
-    edges = np.flatnonzero(np.diff(doc) | np.diff(item)) + 1
-    cases = []
-    for a, b in zip(np.r_[0, edges], np.r_[edges, len(doc)], strict=True):
-        if a == b:
-            continue
-        i, d = int(item[a]), int(doc[a])
-        n, text = len(own.words[i]), w.hashes[w.first[d] : w.first[d + 1]]
-        slack, kinds, own_diagonals = n // 3 + 4, 0, diagonal[a:b]
-        begins = [0]
-        for k, x in enumerate(own_diagonals):
-            if x > max(0, own_diagonals[begins[-1]]) + slack:
-                begins.append(k)
-        for k, end in zip(begins, [*begins[1:], b - a], strict=True):
-            # one stretch for diagonals that lie close, as wide on both sides as that of each alone
-            begin = max(0, own_diagonals[k] - slack)
-            window = text[begin : max(0, own_diagonals[end - 1]) + n + 2 * slack]
-            if own.may(i, window):
-                kinds = kinds or len(np.unique(own.seeds[seed[a:b]]))
-                cases.append((d, i, kinds, begin, window))
+    at, seed = own.hits(w)
+    many = own.first[seed + 1] - own.first[seed]
+    entry = np.repeat(own.first[seed], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at, seed, item = np.repeat(at, many), np.repeat(seed, many), own.item[entry]
+    doc = np.searchsorted(w.first, at, "right") - 1
+    order = np.lexsort((at, item, doc))
+    at, seed, item, doc = at[order], seed[order], item[order], doc[order]
+    wide, need = 2 * np.array([len(x) for x in own.words], np.int64), np.array(own.need, np.int64)
+    # a hit that is the first of enough hits of its text and item within the reach of a copy
+    last = np.arange(len(at)) + (need[item] - 1 if len(at) else 0)
+    inside = np.minimum(last, max(len(at) - 1, 0))
+    opens = np.flatnonzero((last < len(at)) & (doc[inside] == doc) & (item[inside] == item) & (at[inside] - at < wide[item])) if len(at) else last
+    cases, at_end = [], (-1, -1, -1)
+    for k in opens:
+        d, i = int(doc[k]), int(item[k])
+        base, size = int(w.first[d]), int(w.first[d + 1] - w.first[d])
+        begin, end = max(0, int(at[k]) - base - int(wide[i])), min(size, int(at[last[k]]) - base + int(wide[i]) + REACH)
+        if at_end[:2] == (d, i) and begin <= at_end[2]:
+            cases[-1][3] = max(cases[-1][3], end)
+        else:
+            cases.append([d, i, begin, end])
+        at_end = (d, i, cases[-1][3])
+    parts = []
+    for d, i, begin, end in cases:
+        text = w.hashes[w.first[d] : w.first[d + 1]]
+        for x, y in own.stretches(i, text, begin, end):
+            parts.append((d, i, x, text[x:y]))
     got: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    for k in range(0, len(cases), 256):
-        part = cases[k : k + 256]
-        score, end = smith_waterman([c[4] for c in part], [own.words[c[1]] for c in part])
-        for c, s, e in zip(part, score, end, strict=True):
-            rel = float(s) / (MATCH * len(own.words[c[1]]))
-            if rel >= LEAST_SCORE and rel > got.get(c[:2], (0.0,))[0]:
-                got[c[:2]] = (rel, c[2], int(c[3]), int(c[3] + e - 1))
+    parts.sort(key=lambda c: len(c[3]))
+    for k in range(0, len(parts), 256):
+        part = parts[k : k + 256]
+        score, end = smith_waterman([c[3] for c in part], [own.words[c[1]] for c in part])
+        for (d, i, begin, _), s, e in zip(part, score, end, strict=True):
+            rel = float(s) / (MATCH * len(own.words[i]))
+            if rel >= LEAST_SCORE and rel > got.get((d, i), (0.0,))[0]:
+                own_hits = slice(*np.searchsorted(doc, [d, d + 1]))
+                kinds = len(np.unique(seed[own_hits][item[own_hits] == i]))
+                got[d, i] = (rel, kinds, begin, int(begin + e - 1))
     return got
 
 
+def _count(items: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = items.value
+        sums = np.zeros(len(own.seeds), np.int64)
+        for piece in chunks(batches, "text"):
+            sums += np.bincount(own.hits(words(*utf8(piece.column("text"))))[1], minlength=len(sums))
+        there = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there])], names=["seed", "n"])
+
+    return run
+
+
 def _align(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, "text"):
@@ -156,8 +228,10 @@ def _without(items):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[_Items]:
-    """The benchmark in blocks of bounded size."""
+def _blocks(benchmark: DataFrame, docs: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark in blocks of bounded size, each with the seeds that are rarest in docs (text), sent to every task."""
+    spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS)
@@ -165,7 +239,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[_Items]:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()
         own = _Items([r[0] for r in rows], [r[1] for r in rows])
         if len(own.ids):
-            yield own
+            sent = spark.sparkContext.broadcast(own)
+            # a row a seed of the block at most
+            found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+            sent.unpersist()
+            counts = np.zeros(len(own.seeds), np.int64)
+            counts[found.column("seed").to_numpy()] = found.column("n").to_numpy()
+            own.rare(counts)
+            yield spark.sparkContext.broadcast(own)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -175,8 +256,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], MATCHES)
-    for own in _blocks(benchmark):
-        out = out.union(docs.mapInArrow(_align(spark.sparkContext.broadcast(own)), MATCHES))
+    for own in _blocks(benchmark, docs):
+        out = out.union(docs.mapInArrow(_align(own), MATCHES))
     best = F.max(F.struct("score", "n_seeds", "from_word", "to_word")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
@@ -185,8 +266,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item of benchmark. Rows are judged where
     they lie; none is shuffled."""
     out = docs
-    for own in _blocks(benchmark):
-        out = out.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(own)), docs.schema)
+    for own in _blocks(benchmark, docs):
+        out = out.mapInArrow(_without(own), docs.schema)
     return out
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import odd
+import pyarrow as pa
 
 from quillon.llm import op8_decontaminate as op8
+from quillon.llm.common import utf8, words
 
 
 def align(a, b):
@@ -83,3 +85,47 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
     none = odd.documents(spark, empty=True)
     assert op8.matches(none, items).count() == 0 and op8.matches(docs, items.limit(0)).count() == 0 and op8.clean(docs, items.limit(0)).count() == docs.count()
+
+
+def edits(r, w, noise):
+    """An item's words, edited in every way that may leave half of its score, by kind."""
+    clauses = [w[k : k + 7] for k in range(0, len(w), 7)]
+    r.shuffle(clauses)
+    swap = lambda share: [r.choice(noise) if r.random() < share else x for x in w]
+    return {
+        "verbatim": w,
+        "a tenth replaced": swap(0.1),
+        "three tenths replaced": swap(0.3),
+        "every third replaced": [r.choice(noise) if k % 3 == 2 else x for k, x in enumerate(w)],
+        "a word after every second": [y for k, x in enumerate(w) for y in ([x, r.choice(noise)] if k % 2 else [x])],
+        "a word after every word": [y for x in w for y in (x, r.choice(noise))],
+        "every fourth left out": [x for k, x in enumerate(w) if k % 4 != 3],
+        "the first half": w[: len(w) // 2 + 1],
+        "clauses shuffled": sum(clauses, []),
+    }
+
+
+def test_recall_by_kind_of_edit(spark, sf):
+    """Every alignment of half the score or more is found, whatever the kind of edit, and nothing else."""
+    r = random.Random(12)
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:30] + [(900, "one two three"), (901, "of the of the of the end"), (902, "alpha beta gamma delta epsilon")]
+    noise = [w for x in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000").limit(60).collect() for w in (x["text"] or "").lower().split()]
+    docs, kinds = [], []
+    for _, text in items:
+        for kind, w in edits(r, text.lower().split(), noise).items():
+            at = r.randrange(len(noise) - 60)
+            docs.append((len(docs), " ".join(noise[at : at + 25] + w + noise[at + 25 : at + 50])))
+            kinds.append(kind)
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in op8.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hashed = lambda t: words(*utf8(pa.array([t]))).hashes
+    pairs = [(d, i, hashed(t), hashed(x)) for d, t in docs for i, x in items]
+    want = {}
+    for k in range(0, len(pairs), 512):
+        part = pairs[k : k + 512]
+        for (d, i, _, x), s in zip(part, op8.smith_waterman([p[2] for p in part], [p[3] for p in part])[0], strict=True):
+            if s / (op8.MATCH * len(x)) >= op8.LEAST_SCORE:
+                want[d, i] = s / (op8.MATCH * len(x))
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    seen = {k: sum(kinds[d] == k for d, _ in want) for k in set(kinds)}
+    assert all(seen[k] >= 20 for k in ("verbatim", "a tenth replaced", "a word after every second", "every fourth left out", "the first half")), seen
+    assert seen["every third replaced"] > 0 and seen["a word after every word"] > 0, seen
