@@ -32,6 +32,8 @@ from .common import chunks, kept, small_batches, table
 CACHE_BYTES, WORD_BYTES = 40 << 20, 250
 #: Pairs of tokens that a worker remembers to go together or not.
 CACHE_PAIRS = 1 << 19
+#: Bytes of text whose distinct words share a trie.
+STRETCH = 1 << 20
 #: Words of more symbols than this are walked alone, as they share no prefix worth a node.
 LONG = 1 << 12
 KEPT = "op4"
@@ -280,7 +282,7 @@ def coder(path: str) -> Coder:
 
 def _coded(path: str, batches: Iterator[pa.RecordBatch]):
     own = coder(path)
-    for piece in chunks(batches, "text", keep=KEPT):
+    for piece in chunks(batches, "text", STRETCH, KEPT):
         texts = [own.pieces(t) if t else [] for t in piece.column("text").to_pylist()]
         own.learn(set().union(*texts))
         known = own.known
