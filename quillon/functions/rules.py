@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 
-#: Words for the size of an embedding's statistics, from small to large; a choice of this library.
-FEATURE_WORDS = {"mean": ["dark", "muted", "bright", "vivid"], "std": ["uniform", "varied", "complex", "chaotic"]}
-TEMPLATES = ["An image of {}", "A picture showing {}", "A scene with {}", "A view of {}"]
-
 
 def ratio(x: Column, y: Column, empty: float | None = 0.0) -> Column:
     """x / y; empty where y is zero or null."""
@@ -32,10 +28,3 @@ def category(v: Column | str, with_entropy: bool = True) -> Column:
 def feature_word(x: Column, words: list[str]) -> Column:
     """The word for a size: the integer part of x, at most 3."""
     return F.element_at(F.array(*map(F.lit, words)), F.least(F.greatest(x, F.lit(0.0)), F.lit(3.0)).cast("int") + 1)
-
-
-def caption(key: Column, v: Column | str) -> Column:
-    """A caption by rule from an embedding; the key chooses the template."""
-    chosen = F.element_at(F.array(*map(F.lit, TEMPLATES)), F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("int"), F.lit(len(TEMPLATES))) + 1)
-    words = F.concat_ws(" ", feature_word(F.abs(V.mean(v)) * 10, FEATURE_WORDS["mean"]), feature_word(V.std(v, sample=True) * 10, FEATURE_WORDS["std"]), category(v))
-    return F.replace(chosen, F.lit("{}"), words)

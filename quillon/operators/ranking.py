@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from .blocks import met
 from .search import CELLS, _fit, _matrix, _scores
 
@@ -98,3 +99,13 @@ def rank_histogram(ranked: DataFrame) -> DataFrame:
 def match_averages(scored: DataFrame) -> DataFrame:
     """Mean score of matching and other pairs (is_match, score)."""
     return scored.groupBy("is_match").agg(F.avg("score").alias("avg_score"), F.count("*").alias("n"))
+
+
+def label_means(rows: DataFrame, label: str, vec: str) -> DataFrame:
+    """label, n_pairs and mean: the mean cosine of all pairs of different rows of a label. With S the sum of a label's n unit vectors the pairs'
+    cosines sum to |S|^2 - n, so no pair is made and a label with a third of all rows costs no more than its rows. Labels of one row: null."""
+    unit = rows.select(label, V.normalize(vec, "null").alias("v")).where("v IS NOT NULL")
+    sums = unit.select(label, F.posexplode("v").alias("place", "x")).groupBy(label, "place").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    whole = sums.groupBy(label).agg(F.sum(F.col("s") * F.col("s")).alias("square"), F.max("n").alias("n"))
+    pairs = F.col("n") * (F.col("n") - 1)
+    return whole.select(label, (pairs / 2).cast("long").alias("n_pairs"), F.try_divide(F.col("square") - F.col("n"), pairs).alias("mean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import captions, rules
 from ..functions import vectors as V
 from ..operators import quality
 from ..sources.readers import table
@@ -53,9 +53,42 @@ def category_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").groupBy(rules.category("embedding").alias("category")).agg(F.count("*").alias("n"))
 
 
-@plans.query()
+#: What is asked of a row, by its id: a prompt for every branch of the rules, and none.
+_PROMPTS = ["Describe the image", "What is the main subject?", "What is HAPPENING here?", "Which colours are there?", "Explain the embedding", None]
+
+
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _list(texts: list) -> str:
+    return "[" + ", ".join(map(_quoted, texts)) + "]"
+
+
+_CAPTIONS = (
+    _STATS.replace(f"SELECT vec_id, {_E} AS e FROM embeddings", f"SELECT vec_id, CASE WHEN list_max(list_transform(x, lambda y: abs(y))) > 10 THEN list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) ELSE x END AS e FROM (SELECT vec_id, list_transform({_E}[1:3 + vec_id % 20], lambda y: y * power(2, vec_id % 9)) AS x FROM embeddings)")
+    + f""", w AS (SELECT s.vec_id, mean, std, entropy, coalesce({_list(_PROMPTS)}[1 + vec_id % 6], '') AS prompt,
+  CASE WHEN entropy > 2.5 THEN 'abstract' WHEN std > 0.3 AND mean > 0.1 THEN 'nature' WHEN std > 0.3 THEN 'urban' WHEN mean > 0 THEN 'person' ELSE 'object' END AS kind,
+  (CASE WHEN std > 0.3 THEN {_list(captions.WORDS["high_variance"])} ELSE {_list(captions.WORDS["low_variance"])} END)[1 + CAST(floor(least(std * 10, 3)) AS INTEGER)] AS f1,
+  (CASE WHEN mean > 0 THEN {_list(captions.WORDS["positive_bias"])} ELSE {_list(captions.WORDS["negative_bias"])} END)[1 + CAST(floor(least(abs(mean) * 10, 3)) AS INTEGER)] AS f2,
+  (CASE WHEN entropy < 2 THEN {_list(captions.WORDS["clustered"])} ELSE {_list(captions.WORDS["dispersed"])} END)[1 + CAST(floor(least(entropy, 3)) AS INTEGER)] AS f3,
+  CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 AS t, CAST('0x' || substr(md5(vec_id || 'a'), 1, 4) AS INTEGER) % 4 AS ta FROM s JOIN h USING (vec_id))
+SELECT vec_id, CASE WHEN vec_id % 6 = 4 THEN replace(replace({_list(captions.ANALYSES)}[1 + ta], '{{category}}', kind), '{{feature}}', f1 || ', ' || f2 || ', and ' || f3)
+  ELSE (CASE kind {" ".join(f"WHEN '{k}' THEN {_list(t)}[1 + t]" for k, t in captions.TEMPLATES.items())} END) || CASE vec_id % 6
+    WHEN 0 THEN ' The visual content appears to have ' || f1 || ' and ' || f2 || ' qualities.'
+    WHEN 1 THEN ' The main subject shows characteristics of ' || f1 || ' content with ' || f2 || ' aspects.'
+    WHEN 2 THEN ' The scene depicts ' || kind || ' elements with ' || f1 || ' and ' || f3 || ' attributes.'
+    ELSE ' Analysis reveals ' || f1 || ', ' || f2 || ', and ' || f3 || ' properties in the visual data.' END END AS caption FROM w"""
+)
+
+
+@plans.query(_CAPTIONS)
 def rule_captions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", rules.caption(F.col("vec_id"), "embedding").alias("caption"))
+    """Captions of the heads of all vectors, of several lengths and sizes so that every category and word comes up."""
+    rows = table(spark, sf, "embeddings")
+    head = F.transform(F.slice(V.doubles("embedding"), F.lit(1), (F.col("vec_id") % 20 + 3).cast("int")), lambda x: x * F.pow(F.lit(2.0), F.col("vec_id") % 9))
+    prompt = F.element_at(F.array(*map(F.lit, _PROMPTS)), (F.col("vec_id") % 6 + 1).cast("int"))
+    return rows.select("vec_id", captions.caption(F.col("vec_id"), head, prompt).alias("caption"))
 
 
 @plans.query(f"SELECT vec_id, round(list_min({_E}), 6) AS min, round(list_max({_E}), 6) AS max, round(list_avg({_E}), 6) AS mean, round(list_stddev_pop({_E}), 6) AS std FROM embeddings")

@@ -218,3 +218,12 @@ def combined_vectors(spark: SparkSession, sf: str) -> DataFrame:
     asked, rows = _sides(spark, sf)
     both = search.combine(asked.select(F.col("vec_id").alias("t"), V.doubles("embedding").alias("v")), rows.select(F.col("vec_id").alias("i"), V.doubles("embedding").alias("v")))
     return both.withColumn("v", F.transform("v", lambda x: F.round(x, 6) + 0.0))
+
+
+@plans.query(
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT a.label, count(*) AS n_pairs, round(avg(list_cosine_similarity(a.e, b.e)), 6) + 0.0 AS mean FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label"""
+)
+def same_label_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean cosine of all pairs of a label."""
+    return ranking.label_means(table(spark, sf, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 6) + 0.0)

@@ -26,14 +26,27 @@ def lines(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> Non
     df.select(F.col(column).cast("string").alias("value")).write.mode(mode).text(path)
 
 
+def widths(df: DataFrame) -> dict[str, int]:
+    """The vector columns of df, and the length of the first vector of each; columns without a vector are left out."""
+    named = [c for c, t in df.dtypes if t in ("array<float>", "array<double>")]
+    if not named:
+        return {}
+    found = df.agg(*[F.first(F.when(F.col(c).isNotNull(), F.size(c)), ignorenulls=True).alias(c) for c in named]).first()
+    return {c: found[c] for c in named if found[c] is not None}
+
+
 class Collection:
-    """Points (id, named vectors, payload) in a Parquet folder; generations make a replacement atomic for its readers."""
+    """Points (id, named vectors, payload) in a Parquet folder; generations make a replacement atomic for its readers. Without given
+    widths a new collection takes those of the first vectors it is created from, and one that is there those it holds."""
 
-    def __init__(self, spark: SparkSession, path: str, vectors: dict[str, int]):
-        self.spark, self.path, self.vectors = spark, path, vectors
+    def __init__(self, spark: SparkSession, path: str, vectors: dict[str, int] | None = None):
+        self.spark, self.path = spark, path
+        self.vectors = vectors if vectors is not None or not self.exists() else widths(self.read())
 
     def _fit(self, df: DataFrame) -> DataFrame:
         """Rows whose vectors all have the collection's widths; a null vector is allowed."""
+        if self.vectors is None:
+            self.vectors = widths(df)
         for name, size in self.vectors.items():
             df = df.where(F.col(name).isNull() | (F.size(name) == size))
         return df
@@ -47,6 +60,8 @@ class Collection:
 
     def create(self, df: DataFrame) -> None:
         """Starts anew with df."""
+        if self.vectors is None:
+            self.vectors = widths(df)
         self._fit(df).write.parquet(f"{self.path}/g{self._current() + 1}")
 
     def exists(self) -> bool:

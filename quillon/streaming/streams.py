@@ -47,6 +47,31 @@ def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
         raise TimeoutError(f"the stream was not done after {limit} s")
 
 
+def until(df: DataFrame, rows: int, work: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """Runs work on micro-batches until `rows` rows have been handed over, the last batch cut to what is left, and stops; the number of rows
+    handed over, which is less where the stream ends first."""
+    seen = 0
+
+    def step(batch: DataFrame, number: int) -> None:
+        nonlocal seen
+        if seen < rows:
+            part = batch.limit(rows - seen).persist()
+            try:
+                n = part.count()
+                work(part, number)
+            finally:
+                part.unpersist()
+            seen += n
+
+    query = df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while query.isActive and seen < rows:
+        query.awaitTermination(0.2)
+    query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return seen
+
+
 def _timed(df: DataFrame, late: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 

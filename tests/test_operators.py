@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import rules
+from quillon.functions import captions, rules
 from quillon.functions import text as T
 from quillon.functions import vectors as V
 from quillon.operators import agents, cache, control, encoders, quality, ranking, records, search, telemetry
@@ -248,3 +248,22 @@ def test_mixed_scores_rank_all_candidates(spark):
     got = search.top_k(rows.where("vec_id = 1"), rows, 1, "mixed", weight=0.7).collect()
     assert [search.top_k(rows.where("vec_id = 1"), rows, 1, m).first()["id"] for m in ("cosine", "dot")] == [1, 3]
     assert [(r["id"], r["rank"]) for r in got] == [(2, 1)] and abs(got[0]["score"] - (0.7 * 2 / 4.25**0.5 + 0.3 * 2)) < 1e-9
+
+
+def test_label_means(spark):
+    r = np.random.default_rng(1)
+    rows = [(int(k % 3), r.standard_normal(5).tolist()) for k in range(40)] + [(7, [1.0] * 5), (8, [0.0] * 5), (8, [1.0] * 5), (8, [1.0] * 5), (9, None)]
+    got = {x["label"]: (x["n_pairs"], x["mean"]) for x in ranking.label_means(spark.createDataFrame(rows, "label int, v array<double>"), "label", "v").collect()}
+    for label in (0, 1, 2):
+        m = np.array([v for k, v in rows if k == label])
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        assert got[label][0] == len(m) * (len(m) - 1) // 2 and abs(got[label][1] - (m @ m.T)[np.triu_indices(len(m), 1)].mean()) < 1e-9
+    assert got[7] == (0, None) and got[8][0] == 1 and abs(got[8][1] - 1) < 1e-9 and 9 not in got
+
+
+def test_captions(spark):
+    rows = spark.createDataFrame([(1, [30.0, -1.0, 2.0], "describe"), (2, [0.1] * 4, None), (3, None, "x"), (4, [1.0], "x"), (5, [], "x")], "id long, v array<double>, p string")
+    got = {x["id"]: x["c"] for x in rows.select("id", captions.caption(F.col("id"), "v", F.col("p")).alias("c")).collect()}
+    assert got[1].endswith(" The visual content appears to have intricate and energetic qualities.")  # at length 1
+    assert got[2].split(" Analysis reveals ")[0] in captions.TEMPLATES["person"] and "subtle, colorful, and organized" in got[2]
+    assert got[3] is None and got[4] is None and got[5] is None

@@ -62,6 +62,17 @@ def test_collection(spark, tmp_path):
     assert {r["id"] for r in c.read().collect()} == {1, 3}
 
 
+def test_collection_finds_its_widths(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, [1.0, 2.0, 3.0], "a"), (2, [1.0, 0.0], [1.0, 2.0], "b"), (3, [2.0, 0.0], None, "c")], "id long, v array<double>, w array<float>, t string").coalesce(1)
+    c = writers.Collection(spark, f"{tmp_path}/c")
+    c.create(rows)
+    assert c.vectors == {"v": 2, "w": 3} and {r["id"] for r in c.read().collect()} == {1, 3}
+    again = writers.Collection(spark, f"{tmp_path}/c")
+    again.upsert(spark.createDataFrame([(4, [1.0], [1.0, 2.0, 3.0], "d"), (5, [1.0, 1.0], [1.0, 2.0, 3.0], "e")], rows.schema), ["t"])
+    assert again.vectors == {"v": 2, "w": 3} and {r["id"] for r in again.read().collect()} == {1, 3, 5}
+    assert writers.widths(rows.select("id", "t")) == {} and writers.widths(rows.limit(0)) == {}
+
+
 def test_synthetic(spark):
     a, b = readers.synthetic(spark, 5, 8), readers.synthetic(spark, 5, 8)
     assert a.collect() == b.collect() and abs(sum(x * x for x in a.first()["embedding"]) - 1) < 1e-9
@@ -197,3 +208,11 @@ def test_coalesced(spark, sf, tmp_path, events):
     finally:
         query.stop()
     assert sum(seen) == rows.count()
+
+
+def test_until(spark, events, tmp_path):
+    """A stream stops after so many rows, in the middle of a batch; a longer wish gets all there is."""
+    rows, stream = events
+    seen = []
+    assert streams.until(stream, 120, lambda b, n: seen.append(b.count()), f"{tmp_path}/u1") == 120 and sum(seen) == 120 and len(seen) == 2
+    assert streams.until(stream, 10_000, lambda b, n: None, f"{tmp_path}/u2") == rows.count()
