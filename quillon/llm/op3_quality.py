@@ -9,8 +9,8 @@ document the cosines with all of them are computed in blocks, and the labels of
 the weight of their similarity.
 
 Null and empty texts: the vector of the statistics of nothing, scored like any other. No labels: score 0.5. Null labels
-teach nothing; several labels of one doc_id: the smallest counts. A null doc_id is scored and not held out. Repeated rows are all scored; of ties in
-similarity the neighbour that comes first in the sample counts. Empty table: no rows. Clashing further columns are not read.
+teach nothing; several labels or texts of one doc_id: the smallest of each teaches. A null doc_id is scored and not held out. Repeated rows are all
+scored; of ties in similarity the neighbour of the smaller doc_id counts. Empty table: no rows. Clashing further columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ FEATURES = WORDS + SHAPES + STATISTICS
 #: A statistic counts as a term that occurs so often.
 WEIGHT = 30
 ROWS = 512
+#: Digits to which similarities are compared.
+DIGITS = 9
 SCORED = "doc_id long, score double, predicted int"
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -108,17 +110,24 @@ class Model:
     labels: np.ndarray
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        z = _unit(np.log1p(x) * self.idf) @ self.space
-        return _unit(z)
+        """In doubles, so that what the order of sums adds to equal vectors is far below the digits that are compared."""
+        return _unit(_unit((np.log1p(x) * self.idf).astype(np.float64)) @ self.space)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(x), 0.5)
-        near = self.latent(x) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, 1), 1e-6).astype(np.float64)
-        return (weight * self.labels[best]).sum(1) / weight.sum(1)
+        near = np.round(self.latent(x) @ self.vectors.T, DIGITS)
+        weight = np.where(nearest(near, NEIGHBOURS), np.maximum(near, 1e-6), 0)
+        return np.clip(weight @ self.labels / weight.sum(1), 0, 1)
+
+
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Which k columns of each row are greatest, the first of those that tie."""
+    if k >= near.shape[1]:
+        return np.ones(near.shape, bool)
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    over, level = near > least, near == least
+    return over | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= k - over.sum(1, keepdims=True)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -145,13 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     idf = (np.log((held[-1] + 1) / (held[:-1] + 1)) + 0.3).astype(np.float32)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold("doc_id", 3) != 1).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, quality int, x binary").toPandas()  # `sample` rows
-    got = got.sort_values(["doc_id", "x"])
+    # one row an id however often it stands there, so `sample` rows
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    got = one.select("doc_id", "quality", "text").mapInArrow(_sampled, "doc_id long, quality int, x binary").toPandas().sort_values("doc_id")
     if not len(got):
         return Model(idf, np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]])
     model = Model(idf, _svd(_unit(np.log1p(x) * idf), LATENT), np.zeros((0, 1), np.float32), got["quality"].to_numpy(np.float64))
-    model.vectors = model.latent(x)
+    model.vectors = np.concatenate([model.latent(x[k : k + ROWS]) for k in range(0, len(x), ROWS)])
     return model
 
 
