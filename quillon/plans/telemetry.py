@@ -155,15 +155,31 @@ def success_rate(spark: SparkSession, sf: str) -> DataFrame:
     return _r(found, 6)
 
 
-# Sizes that the rules advise after recorded batches; size / 64 stands for the share of memory, seconds for the load.
-_R = (
-    _T.replace(" FROM events)", ", (CAST(props->>'$.k' AS INTEGER) % 64 + 1) / 64e0 AS memory, least(1, value / 1000) * 100 AS cpu, 64 - (CAST(props->>'$.k' AS INTEGER) % 64) AS room FROM events)")
-    + f", p AS (SELECT *, coalesce(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER {_W}), 86400e0) AS pause"
-    + "".join(f", {e.format(own=_W[1:])} AS {c}" for c, e in control.WINDOWS.items())
-    + " FROM t), r AS (SELECT *"
-    + "".join(f", {e.format(own=_W[1:])} AS {c}" for c, e in control.LIMITS.items())
-    + " FROM p) "
-)
+# Sizes that the rules advise after recorded batches; size / 64 stands for the share of memory, seconds for the load. The SQL is written apart
+# from the rules: it looks at the whole history of a stream as lists, with all targets and factors as plain numbers.
+_HISTORY = """
+WITH b AS (SELECT event_id, user_id, ts, CAST(props->>'$.k' AS INTEGER) % 64 + 1 AS size, value / 1000 AS sec FROM events),
+h AS (SELECT user_id, event_id, size, sec, size / 64e0 AS mem, row_number() OVER w AS n, list(size) OVER w AS sizes, list(sec) OVER w AS secs, list(epoch_us(ts)) OVER w AS times
+  FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN secs[i] = 0 THEN 0 ELSE sizes[i] / secs[i] END) AS rates,
+  CASE WHEN n = 1 THEN 86400 ELSE (times[n] - times[n - 1]) / 1e6 END AS pause,
+  CASE WHEN n <= 10 OR list_sum(secs[greatest(1, n - 19):n - 10]) = 0 THEN 0 ELSE list_sum(sizes[greatest(1, n - 19):n - 10]) / list_sum(secs[greatest(1, n - 19):n - 10]) END AS earlier,
+  coalesce(sizes[list_max(list_filter(range(1, n), lambda i: sizes[i] > 44.8 OR sizes[i] < 31.36))] > 44.8, false) AS full_once,
+  coalesce(secs[list_max(list_filter(range(1, n), lambda i: secs[i] > 2 OR secs[i] < 1))] > 2, false) AS slow_once FROM h),
+a AS (SELECT *, list_avg(rates[-10:]) AS mean10, list_avg(rates[-5:]) AS mean5, rates[n] AS rate FROM r)
+SELECT user_id, event_id, CAST(greatest(1, least(64, floor({size}))) AS INTEGER) AS advice FROM a"""
+_SIZES = {
+    "throughput": """CASE WHEN mem > 0.7 THEN size * (0.7e0 * (mem / 0.7e0)) WHEN mem < 0.7e0 - 0.1e0 AND size < 64 AND sec < 2 THEN size * least(1.2e0 * (1 + (0.7e0 - mem)), 2)
+      WHEN sec > 2 THEN size * 0.7e0 / (sec / 2) WHEN sec < 1.4 THEN size * 1.2e0 WHEN n = 1 THEN size WHEN mean10 > earlier THEN size * 1.2e0 WHEN mean10 < 0.95e0 * earlier THEN size * 0.7e0 ELSE size * 1.05e0 END""",
+    "steady": """CASE WHEN mem > 0.7 THEN size * (0.8e0 / (mem / 0.7e0)) WHEN mem < 0.7e0 - 0.1e0 AND full_once THEN size * least(1.2e0, 1.7e0 - mem)
+      WHEN sec > 2 THEN size * (0.9e0 / (sec / 2)) WHEN sec < 1.4 AND slow_once THEN size * least(1.2e0, 1.5e0 - sec / 4)
+      WHEN n < 3 THEN size WHEN rate > 1.1e0 * mean5 THEN size + 1 WHEN rate < 0.9e0 * mean5 THEN size - 1 ELSE size END""",
+    "warm_up": """CASE WHEN n <= 2 THEN size WHEN size < 35.84 AND sec < 0.5 THEN CASE WHEN least(floor(1.2e0 * size), 64) > 44.8 THEN size + 2 ELSE 1.2e0 * size END
+      WHEN size > 44.8 OR sec > 2 THEN 0.8e0 * size ELSE size END""",
+    "one_step": "size + CASE WHEN size > 51.2 THEN -1 WHEN size < 32 AND sec < 0.5e0 * size THEN 1 ELSE 0 END",
+    "per_sample": "CASE WHEN pause <= 10 THEN size WHEN sec / size < 0.01e0 THEN size + 2 WHEN sec / size > 0.1e0 AND size > 8 THEN greatest(8, size - 2) ELSE size END",
+    "gap": "CASE WHEN pause < 5 THEN size ELSE least(floor(size * (1 + greatest(-0.5e0, least(0.5e0, least((80e0 - least(1, sec) * 100) / 100, (80e0 - mem * 100) / 100) * 0.5e0)))), floor((65 - size) * 0.7e0)) END",
+}
 
 
 def _recorded(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,8 +194,8 @@ def _advised(rule: str):
     return run
 
 
-for _rule, _expression in control.RULES.items():
-    plans.query(_R + f"SELECT user_id, event_id, {control.clamped(_expression)} AS advice FROM r", f"batch_size_{_rule}")(_advised(_rule))
+for _rule in control.RULES:
+    plans.query(_HISTORY.replace("{size}", _SIZES[_rule]), f"batch_size_{_rule}")(_advised(_rule))
 
 
 @plans.query(
