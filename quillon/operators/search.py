@@ -164,18 +164,22 @@ def expanded(queries: DataFrame, corpus: DataFrame, hits: int = 10, against: int
     return asked
 
 
-def combine(texts: DataFrame, images: DataFrame, normalize: bool = True, most: int = 4096) -> DataFrame:
-    """Every text of a request with every image as (t + i) / 2. texts (t, v), images (i, v); an empty side: the other as it is.
-
-    The texts are a stated set of at most `most` (ValueError beyond) that goes out beside the images where they lie; so
-    each image gives a row a text, and nothing is shuffled."""
-    held = texts.select("t", V.doubles("v").alias("v")).limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} texts")
-    if not held or images.isEmpty():
+def combine(texts: DataFrame, images: DataFrame, normalize: bool = True) -> DataFrame:
+    """Every text of a request with every image as (t + i) / 2. texts (t, v), images (i, v), all vectors of one length; an empty side: the other
+    as it is. Blocks of both sides meet, so neither side is sent out whole; a null vector has no pairs."""
+    if texts.isEmpty() or images.isEmpty():
         t = texts.select("t", F.lit(None).cast("long").alias("i"), V.doubles("v").alias("v"))
         return t.union(images.select(F.lit(None).cast("long").alias("t"), "i", V.doubles("v").alias("v")))
-    asked = F.broadcast(texts.sparkSession.createDataFrame(held, "t long, tv array<double>"))
-    both = images.select("i", V.doubles("v").alias("iv")).crossJoin(asked)
-    mean = V.average("tv", "iv")
-    return both.select("t", "i", (V.normalize(mean) if normalize else mean).alias("v"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = (_matrix(left.column("v"))[:, None] + _matrix(right.column("v"))[None]) / 2 if left.num_rows and right.num_rows else np.zeros((0, 0, 0))
+        if normalize and m.size:
+            size = np.sqrt((m * m).sum(2, keepdims=True))
+            m = m / np.where(size > 0, size, 1)
+        flat = pa.array(m.ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(m.shape[0] * m.shape[1] + 1, dtype=np.int32) * m.shape[2]), flat)
+        t, i = (np.repeat(left.column("id").to_numpy(), m.shape[1]), np.tile(right.column("id").to_numpy(), m.shape[0])) if m.size else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(t.astype(np.int64)), pa.array(i.astype(np.int64)), lists], names=["t", "i", "v"])
+
+    side = lambda df, key: df.select(F.col(key).cast("long").alias("id"), V.doubles("v").alias("v")).where("v IS NOT NULL")
+    return met(side(texts, "t"), side(images, "i"), run, "t long, i long, v array<double>", 64, 1024)

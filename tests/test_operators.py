@@ -135,6 +135,20 @@ def test_combine_passes_one_side_through(spark):
     assert search.combine(t, none).first()["v"] == [1.0, 1.0]
 
 
+def test_combine_blocks(spark):
+    """More rows than a block on both sides, a zero mean and a null vector: every pair once."""
+    r = np.random.default_rng(6)
+    t, i = r.standard_normal((150, 3)), r.standard_normal((1100, 3))
+    i[7] = -t[3]
+    texts = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(t)] + [(999, None)], "t long, v array<double>")
+    images = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(i)], "i long, v array<double>")
+    got = {(x["t"], x["i"]): x["v"] for x in search.combine(texts, images).where("t % 50 = 3").collect()}
+    assert len(got) == 3 * 1100 and got[3, 7] == [0.0, 0.0, 0.0]
+    for (a, b), v in got.items():
+        m = (t[a] + i[b]) / 2
+        assert np.allclose(v, m / (np.linalg.norm(m) or 1))
+
+
 def test_empty_statistics(spark):
     empty = spark.createDataFrame([], "a string")
     assert quality.text_stats(empty, ["a"]).count() == 0
