@@ -6,6 +6,9 @@ in the result, nor in the SQL.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -35,10 +38,23 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return _feed(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
 
 
+@contextmanager
+def _started(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, in no more partitions than there are cores, as streams don't merge small ones."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        with state.rocksdb(spark):
+            yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _appended(df: DataFrame) -> DataFrame:
     """All rows that a stream appends."""
     spark, path = df.sparkSession, scratch.folder(df.sparkSession, "out")
-    with state.rocksdb(spark):
+    with _started(spark):
         streams.drained(df, path, scratch.folder(spark, "checkpoint"))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,7 +62,7 @@ def _appended(df: DataFrame) -> DataFrame:
 def _updated(df: DataFrame, key: list[str], mode: str = "update", idle: bool = True) -> DataFrame:
     """The last row of each key that a stream gives."""
     spark, path = df.sparkSession, scratch.folder(df.sparkSession, "out")
-    with state.rocksdb(spark):
+    with _started(spark):
         streams.each_batch(df, lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/b{n}"), scratch.folder(spark, "checkpoint"), mode, idle)
     rest = [c for c in df.columns if c not in key]
     held = spark.read.schema(StructType([*df.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{path}/b*")
