@@ -34,8 +34,8 @@ def _best(edges: DataFrame, key: str, other: str, n: int) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def _round(nodes: DataFrame, pivots: np.ndarray, along: np.ndarray, degree: int, block: int) -> DataFrame:
-    """Edges between rows that meet in a block."""
+def _round(nodes: DataFrame, pivots: np.ndarray, along: np.ndarray, degree: int, block: int, parts: int) -> DataFrame:
+    """Edges between rows that meet in a block. parts: partitions that blocks are cut in, each of several blocks."""
     sent = nodes.sparkSession.sparkContext.broadcast((pivots, along))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def _round(nodes: DataFrame, pivots: np.ndarray, along: np.ndarray, degree: int,
         if size:
             yield _edges(pa.Table.from_batches(held), degree)
 
-    spread = nodes.mapInArrow(placed, "id long, v array<double>, pivot int, x double").repartitionByRange("pivot", "x", "id").sortWithinPartitions("pivot", "x", "id")
+    spread = nodes.mapInArrow(placed, "id long, v array<double>, pivot int, x double").repartitionByRange(parts, "pivot", "x", "id").sortWithinPartitions("pivot", "x", "id")
     return spread.select("id", "v").mapInArrow(met, EDGES)
 
 
@@ -91,10 +91,11 @@ class NeighbourGraph:
         if not n:
             raise ValueError("there is no vector to build on")
         pool = _matrix(sampled(nodes).select("v").toArrow().column("v")) if n > 1 else np.zeros((1, 1))
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (8 * block)))
         edges: DataFrame | None = None
         for _ in range(rounds if n > 1 else 0):
             many = max(1, min(n // block, len(pool), MAX_VALUES // pool.shape[1]))
-            part = _round(nodes, pool[draw.permutation(len(pool))[:many]], draw.standard_normal(pool.shape[1]), degree, block)
+            part = _round(nodes, pool[draw.permutation(len(pool))[:many]], draw.standard_normal(pool.shape[1]), degree, block, parts)
             edges = part if edges is None else edges.union(part)
         edges = spark.createDataFrame([], EDGES) if edges is None else _best(edges.groupBy("id", "to").agg(F.max("score").alias("score")), "id", "to", degree)
         for _ in range(descents):
