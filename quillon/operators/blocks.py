@@ -9,13 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of the vectors of one block, at most; a row that is larger is a block of its own.
+BYTES = 1 << 26
+
+
+def _sized(df: DataFrame, most: int) -> tuple[int, int]:
+    """The rows of df, and how many of them make a block: `most`, or as many as keep its vectors within BYTES."""
+    vectors = [c for c, t in df.dtypes if t in ("array<double>", "array<float>")]
+    n, *wide = df.agg(F.count("*"), *[F.max(F.size(c)) for c in vectors]).first()
+    width = 8 * sum(w or 0 for w in wide)
+    return n, min(most, max(1, BYTES // width)) if width else most
+
+
 def met(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, left_rows: int = 4096, right_rows: int = 1 << 16, key: str = "id") -> DataFrame:
     """The rows that work makes of each pair of blocks. The hash of the key deals rows into blocks of about left_rows and
-    right_rows (more blocks on the right while there are cores without one), so that what a task holds is bounded, neither
-    side passes the driver and no pair of rows leaves a task but through work."""
+    right_rows (fewer where their vectors are wide, more blocks on the right while there are cores without one), so that what a task holds is
+    bounded, neither side passes the driver and no pair of rows leaves a task but through work."""
     cores = left.sparkSession.sparkContext.defaultParallelism
-    many = right.count()
-    lefts, rights = max(1, -(-left.count() // left_rows)), max(1, -(-many // right_rows), min(cores, many // 512))
+    (few, left_rows), (many, right_rows) = _sized(left, left_rows), _sized(right, right_rows)
+    lefts, rights = max(1, -(-few // left_rows)), max(1, -(-many // right_rows), min(cores, many // 512))
     spot = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.select("*", spot(lefts).alias("_l"), every(rights).alias("_r"))

@@ -11,7 +11,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quillon.operators import graphs, indexes, keywords, layouts, search
+from quillon.operators import blocks, graphs, indexes, keywords, layouts, search
 from quillon.sources import scratch
 from quillon.sources.readers import table
 
@@ -266,3 +266,11 @@ def test_strengths():
     near = np.sort(np.random.default_rng(2).random((50, 15)), axis=1)
     w = layouts.strengths(near)
     assert np.allclose(w.sum(1), np.log2(15), atol=1e-6) and (np.diff(w, axis=1) <= 0).all() and (w[:, 0] == 1).all()
+
+
+def test_wide_vectors_make_small_blocks(spark, vectors, monkeypatch):
+    few = rows_of(search.top_k(*vectors, 5))
+    assert blocks._sized(vectors[1].select("embedding"), 1 << 16)[1] == 1 << 16
+    monkeypatch.setattr(blocks, "BYTES", 64 * 8 * 40)  # forty vectors
+    assert blocks._sized(vectors[1].select("embedding"), 1 << 16) == (vectors[1].count(), 40)
+    assert rows_of(search.top_k(*vectors, 5)) == few
