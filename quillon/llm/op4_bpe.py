@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import chunks, kept, small_batches, table
 
 #: Bytes of encodings after which a worker's cache starts a new generation (the one before stays in reach), and what a word takes besides its own bytes.
-CACHE_BYTES, WORD_BYTES = 40 << 20, 250
+CACHE_BYTES, WORD_BYTES = 46 << 20, 200
 #: Pairs of tokens that a worker remembers to go together or not.
 CACHE_PAIRS = 1 << 19
 #: Bytes of text whose distinct words share a trie.
@@ -230,8 +230,8 @@ class Coder:
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.bytes = str.maketrans(dict(enumerate(alphabet())))
         self.little = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def words(self, text: str) -> list[str]:
@@ -251,29 +251,32 @@ class Coder:
         for w in pieces:
             if w not in known:
                 if w in older:
-                    self._hold(w, *older[w])
+                    self._hold(w, older[w])
                 elif w in self.special:
-                    self._hold(w, self.special[w].to_bytes(4, "little"), w)
+                    self._hold(w, self.special[w].to_bytes(4, "little"))
                 else:
                     fresh[w] = w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
         coded = self.trie.encode(sorted(set(fresh.values())))
         little = self.little
         for word, spelled in fresh.items():
-            tokens = coded[spelled]
-            self._hold(word, b"".join([little[t] for t in tokens]), " ".join(tokens))
+            self._hold(word, b"".join([little[t] for t in coded[spelled]]))
 
-    def _hold(self, word: str, ids: bytes, decoded: str) -> None:
-        self.known[word] = ids, decoded
-        self.held += WORD_BYTES + len(word) + len(ids) + len(decoded)
+    def _hold(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += WORD_BYTES + len(word) + len(ids)
 
     def forget(self) -> None:
         """Starts a new generation when the cache is full."""
         if self.held > CACHE_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
+    def joined(self, ids: bytes) -> str:
+        """decode, of little-endian unsigned 32-bit ids that all have a token."""
+        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
+
 
 def coder(path: str) -> Coder:
     """The coder of a file, one per worker process, with what it has learned from earlier tasks."""
@@ -287,8 +290,8 @@ def _coded(path: str, batches: Iterator[pa.RecordBatch]):
         own.learn(set().union(*texts))
         known = own.known
         for doc_id, pieces in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
-            found = [known[p] for p in pieces]
-            yield doc_id, b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            ids = b"".join([known[p] for p in pieces])
+            yield doc_id, ids, own.joined(ids)
         own.forget()
 
 
