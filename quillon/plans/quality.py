@@ -16,7 +16,7 @@ _E = "CAST(embedding AS DOUBLE[])"
 
 
 def _r(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.transform(c, lambda x: F.round(x, digits)).alias(c) if t == "array<double>" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.transform(c, lambda x: V.rounded(x, digits)).alias(c) if t == "array<double>" else F.col(c) for c, t in df.dtypes])
 
 
 @plans.query(

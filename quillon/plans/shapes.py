@@ -64,7 +64,7 @@ def first_rows(spark: SparkSession, sf: str) -> DataFrame:
 def unit_or_null(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors at length 1 by plain division; those of length zero have none."""
     v = F.transform(V.doubles("embedding"), lambda x: F.when(F.col("label") % 3 > 0, x).otherwise(0.0))
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(V.normalize(v, "null"), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(V.normalize(v, "null"), lambda x: V.rounded(x)).alias("unit"))
 
 
 @plans.query(
@@ -82,7 +82,7 @@ def pooled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors narrowed to 24 elements, which need not divide their size."""
     rows = table(spark, sf, "embeddings")
     size = rows.agg(F.max(F.size("embedding"))).first()[0] or 24
-    return rows.select("vec_id", F.transform(V.pooled("embedding", size, 24), lambda x: F.round(x, 6)).alias("pooled"))
+    return rows.select("vec_id", F.transform(V.pooled("embedding", size, 24), lambda x: V.rounded(x)).alias("pooled"))
 
 
 @plans.query(f"SELECT vec_id, CAST(2 * len(embedding) AS INTEGER) AS size, ({_E})[1] AS first, coalesce(({_E})[1000], -1) AS beyond FROM embeddings")
