@@ -1,6 +1,6 @@
 """Streams over the tables, run to their end: what they hold then equals a query over the whole table.
 
-Each is fed in PARTS files by time, one file a micro-batch, and ends when all has been read; windows that no later row has closed are not
+Each is fed in PARTS parts by time, one part a micro-batch, and ends when all has been read; windows that no later row has closed are not
 in the result, nor in the SQL.
 """
 
@@ -20,18 +20,21 @@ from .registry import Registry
 
 plans = Registry()
 
-PARTS = 3
+PARTS, FILE = 3, 1 << 14
 
 
 def _feed(rows: DataFrame, order: str) -> DataFrame:
-    """rows as a stream of PARTS files by ranges of a column, written one after the other."""
+    """rows as a stream of PARTS parts by ranges of a column, written one after the other, each in equally many files of at least FILE rows (one
+    file if a part has fewer)."""
     spark, path = rows.sparkSession, scratch.folder(rows.sparkSession, "feed")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     span = (high - low) / PARTS
-    for k in range(PARTS):
-        part = rows.where((F.col(order) >= F.lit(low + k * span)) & (F.lit(k == PARTS - 1) | (F.col(order) < F.lit(low + (k + 1) * span))))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return streams.files(spark, path, rows.schema)
+    inside = [(F.col(order) >= F.lit(low + k * span)) & (F.lit(k == PARTS - 1) | (F.col(order) < F.lit(low + (k + 1) * span))) for k in range(PARTS)]
+    files = max(1, min(spark.sparkContext.defaultParallelism, min(rows.agg(*[F.count_if(i) for i in inside]).first()) // FILE))
+    for part in inside:
+        own = rows.where(part)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+    return streams.files(spark, path, rows.schema, files)
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +79,7 @@ _CLOSED = "(SELECT max(ts) FROM events)"
 @plans.query(f"""WITH e AS (SELECT event_id, user_id AS key, ts, time_bucket(INTERVAL 1 DAY, ts) AS d FROM events)
 SELECT key, event_id, place, place <= 3 AS allowed FROM (SELECT key, event_id, d, row_number() OVER (PARTITION BY key, d ORDER BY ts, event_id) AS place FROM e) WHERE d + INTERVAL 1 DAY <= {_CLOSED}""")
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """Three events a user and day are allowed: rows wait in list state, windows in map state, timers of the event time decide."""
+    """Three events a user and day are allowed: rows wait in list state, timers of the event time decide."""
     return _appended(state.rate_limited(_events(spark, sf), "user_id", 3, 86_400_000))
 
 

@@ -63,6 +63,25 @@ def test_cool_down_is_carried_from_window_to_window(spark, tmp_path):
     assert {x["event_id"]: x["acts"] for x in got.collect()} == want and 0 < sum(want.values()) < len(want)
 
 
+def test_a_key_waits_with_one_timer(spark, tmp_path, monkeypatch):
+    """Whatever the number of windows that a batch closes, the rows of a key are read and written once."""
+    calls = f"{tmp_path}/calls"
+
+    class Counted(state.RateLimit):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            with open(calls, "a") as f:
+                f.write("x")
+            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    monkeypatch.setattr(state, "RateLimit", Counted)
+    rows = [(k, START + timedelta(minutes=k), 1) for k in range(500)]
+    for part in (rows[:250], rows[250:]):
+        put(spark, part, f"{tmp_path}/feed")
+    got = appended(state.rate_limited(streams.files(spark, f"{tmp_path}/feed", spark.createDataFrame([], EVENTS).schema), "user_id", 2, 300_000), spark, f"{tmp_path}/out", f"{tmp_path}/c")
+    assert {(r["event_id"], r["place"], r["allowed"]) for r in got.collect()} == {(k, k % 5 + 1, k % 5 < 2) for k in range(495)}
+    assert len(open(calls).read()) <= 3
+
+
 def test_talks_expire(spark, tmp_path):
     """Parts that are older than their time to live are no longer in the transcript."""
     schema = "key long, turn long, role string, text string"
