@@ -21,12 +21,12 @@ def _sized(df: DataFrame, most: int) -> tuple[int, int]:
     return n, min(most, max(1, BYTES // width)) if width else most
 
 
-def met(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, left_rows: int = 4096, right_rows: int = 1 << 16, key: str = "id") -> DataFrame:
+def met(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, left_rows: int = 4096, right_rows: int = 1 << 16, key: str = "id", few_vectors: bool = False) -> DataFrame:
     """The rows that work makes of each pair of blocks. The hash of the key deals rows into blocks of about left_rows and
     right_rows (fewer where their vectors are wide, more blocks on the right while there are cores without one), so that what a task holds is
-    bounded, neither side passes the driver and no pair of rows leaves a task but through work."""
+    bounded, neither side passes the driver and no pair of rows leaves a task but through work. few_vectors: most rows of the left hold none, so left_rows stands."""
     cores = left.sparkSession.sparkContext.defaultParallelism
-    (few, left_rows), (many, right_rows) = _sized(left, left_rows), _sized(right, right_rows)
+    (few, left_rows), (many, right_rows) = (left.count(), left_rows) if few_vectors else _sized(left, left_rows), _sized(right, right_rows)
     lefts, rights = max(1, -(-few // left_rows)), max(1, -(-many // right_rows), min(cores, many // 512))
     spot = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -8,49 +8,107 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import stored
 from .blocks import met
-from .search import CELLS, _fit, _matrix, _scores
+from .search import CELLS, _fit, _matrix
 
 
-def ranks(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id and rank of the item with the query's own id among all items, by cosine (both: id, v)."""
-    rows = _fit(items, "id", "v", True)
-    pairs = _fit(queries, "id", "v", True).join(rows.select("id", F.col("v").alias("t")), "id").withColumn("true_id", F.col("id"))
-    return _ranked(pairs, rows, False).select("query_id", "rank")
+#: Queries and items whose scores are held at once while better items are counted.
+ROWS, ITEMS = 256, 1024
+#: Pairs of a query and a true item in one block.
+PAIRS = 1 << 22
+#: Scores this close are ties, which go to the smaller id.
+TIE = 1e-12
 
 
-def true_ranks(queries: DataFrame, truth: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, id and rank of every true item (truth: query_id, id) of each query among all items but the query's own."""
+def ranks(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id and rank of the item with the query's own id among all items, by cosine (both: id, v).
+
+    The rank is one more than the number of better items, ties going to the smaller id; blocks of queries meet blocks of
+    items, and only the numbers leave a task. Vectors of length zero score 0."""
     rows = _fit(items, "id", "v", True)
-    named = truth.select(F.col("query_id").alias("id"), F.col("id").alias("true_id"))
-    pairs = _fit(queries, "id", "v", True).join(named, "id").join(rows.select(F.col("id").alias("true_id"), F.col("v").alias("t")), "true_id")
-    return _ranked(pairs, rows, True).withColumnRenamed("true_id", "id")
+    pairs = _fit(queries, "id", "v", True).join(rows.select("id", F.col("v").alias("t")), "id")
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own = left.column("id").to_numpy(), right.column("id").to_numpy()
+        better = np.zeros(len(ids), np.int64)
+        if len(ids) and len(own):
+            q, t, c = (_unit(x) for x in (left.column("v"), left.column("t"), right.column("v")))
+            truth = (q * t).sum(1)
+            for at in range(0, len(ids), ROWS):
+                part = slice(at, at + ROWS)
+                high, low = truth[part, None] + TIE, truth[part, None] - TIE
+                for col in range(0, len(own), ITEMS):
+                    s = q[part] @ c[col : col + ITEMS].T
+                    ahead, near = s > high, s >= low
+                    n = np.count_nonzero(ahead, axis=1)
+                    better[part] += n
+                    if np.count_nonzero(near) > n.sum():  # ties, the item itself among them
+                        row, at_col = np.nonzero(near & ~ahead)
+                        better[part] += np.bincount(row[own[col + at_col] < ids[at + row]], minlength=len(n))
+            order = np.argsort(own, kind="stable")
+            first, last = (np.searchsorted(own[order], ids, side) for side in ("left", "right"))
+            for k in np.flatnonzero(last - first > 1):  # an item of the query's own id is never ahead of itself
+                better[k] -= int((c[order[first[k] : last[k]]] @ q[k] > truth[k] + TIE).sum())
+        return pa.table([pa.array(ids.astype(np.int64)), pa.array(better)], names=["query_id", "better"])
+
+    # the pairs are one a query id and item of that id
+    counts = met(pairs, rows.select("id", "v"), run, "query_id long, better long", 1 << 14)
+    return counts.groupBy("query_id").agg((F.sum("better") + 1).alias("rank"))
 
-def _ranked(pairs: DataFrame, rows: DataFrame, skip_self: bool) -> DataFrame:
-    """query_id, true_id and rank of pairs (id, v, true_id, t), t being the vector of the true item.
 
-    The rank is one more than the number of better items, ties going to the smaller id; blocks of pairs meet blocks of
-    items, and only the numbers leave a task. Vectors of length zero score 0."""
+def true_ranks(queries: DataFrame, truth: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, id and rank of every true item (truth: query_id, id) of each query among all items but the query's own.
+
+    The pairs carry the scores of the true items, not their vectors; a block of pairs holds each of its queries' vectors once."""
+    rows, asked = _fit(items, "id", "v", True), _fit(queries, "id", "v", True)
+    named = truth.select(F.col("query_id").alias("id"), F.col("id").alias("true_id"))
+    both = named.join(rows.select(F.col("id").alias("true_id"), F.col("v").alias("t")), "true_id").join(asked, "id")
+    pairs = stored(both.select("id", "true_id", F.coalesce(V.cosine("v", "t"), F.lit(0.0)).alias("truth")), "pairs")
+    left = pairs.withColumn("v", F.lit(None).cast("array<double>")).unionByName(asked.select("id", F.lit(None).cast("long").alias("true_id"), F.lit(None).cast("double").alias("truth"), "v"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, true, own = (t.column(c).to_numpy() for t, c in ((left, "id"), (left, "true_id"), (right, "id")))
+        own, asks = right.column("id").to_numpy(), left.filter(left.column("true_id").is_null())
+        pairs = left.filter(left.column("true_id").is_valid()).sort_by("id")
+        ids, true, truth = (pairs.column(c).to_numpy() for c in ("id", "true_id", "truth"))
         better = np.zeros(len(ids), np.int64)
         if len(ids) and len(own):
-            q, t, c = _matrix(left.column("v")), _matrix(left.column("t")), _matrix(right.column("v"))
-            step = max(1, CELLS // len(own))
-            with np.errstate(invalid="ignore"):
-                truth = np.nan_to_num((q * t).sum(1) / np.sqrt((q * q).sum(1) * (t * t).sum(1)))
-                for at in range(0, len(ids), step):
-                    part = slice(at, at + step)
-                    s = np.nan_to_num(_scores(q[part], c, "cosine"))
-                    ahead = (s > truth[part, None] + 1e-12) | ((np.abs(s - truth[part, None]) <= 1e-12) & (own[None] < true[part, None]))
-                    ahead &= own[None] != true[part, None]
-                    better[part] = (ahead & (own[None] != ids[part, None]) if skip_self else ahead).sum(1)
-        return pa.table([pa.array(ids.astype(np.int64)), pa.array(true.astype(np.int64)), pa.array(better)], names=["query_id", "true_id", "better"])
-
-    counts = met(pairs.select("id", "true_id", "v", "t"), rows.select("id", "v"), run, "query_id long, true_id long, better long")
-    return counts.groupBy("query_id", "true_id").agg((F.sum("better") + 1).alias("rank"))
+            q, c = _unit(asks.column("v")), _unit(right.column("v"))
+            found, n = np.unique(own, return_counts=True)
+            many = np.isin(true, found[n > 1])
+            for k, i in enumerate(asks.column("id").to_numpy()):
+                part = slice(*np.searchsorted(ids, [i, i + 1]))
+                s = c @ q[k]
+                s[own == i] = -np.inf
+                order = np.argsort(s)
+                high, low = (np.searchsorted(s[order], truth[part] + d, side) for d, side in ((TIE, "right"), (-TIE, "left")))
+                better[part] = len(s) - high + _smaller(own[order], low, high, true[part])
+                for p in np.flatnonzero(many[part]) + part.start:  # an item is never ahead of itself
+                    better[p] -= int((s[own == true[p]] > truth[p] + TIE).sum())
+        return pa.table([pa.array(ids.astype(np.int64)), pa.array(true.astype(np.int64)), pa.array(better)], names=["query_id", "id", "better"])
+
+    counts = met(left, rows.select("id", "v"), run, "query_id long, id long, better long", PAIRS, few_vectors=True)
+    return counts.groupBy("query_id", "id").agg((F.sum("better") + 1).alias("rank"))
+
+
+def _unit(lists: pa.ChunkedArray) -> np.ndarray:
+    m = _matrix(lists)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(size > 0, size, 1)
+
+
+def _smaller(own: np.ndarray, low: np.ndarray, high: np.ndarray, true: np.ndarray) -> np.ndarray:
+    """How many of own[low:high] are smaller than each true id, at most CELLS looked at at once unless one range holds more."""
+    size, out = high - low, np.zeros(len(true), np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < len(true):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, "right")))
+        n = size[at:to]
+        pair = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
+        out[at:to] = np.bincount(pair[own[place] < true[at:to][pair]], minlength=len(n))
+        at = to
+    return out
 
 
 def recall_at(k: int) -> Column:

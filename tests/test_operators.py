@@ -281,3 +281,24 @@ def test_captions(spark):
     assert got[1].endswith(" The visual content appears to have intricate and energetic qualities.")  # at length 1
     assert got[2].split(" Analysis reveals ")[0] in captions.TEMPLATES["person"] and "subtle, colorful, and organized" in got[2]
     assert got[3] is None and got[4] is None and got[5] is None
+
+
+def test_ranks_against_a_plain_count(spark, monkeypatch):
+    """Copies tie, ids of the items repeat, a vector is zero; pairs of a query and its true items carry no vectors, so few blocks hold them."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 6))
+    rows = [(k, (base[k % 30] if k % 9 else base[0] * 0).tolist()) for k in range(60)]
+    monkeypatch.setattr(ranking, "ROWS", 7)
+    monkeypatch.setattr(ranking, "ITEMS", 11)
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, v in rows}
+    s = {(a, b): float(unit[a] @ unit[b]) for a in unit for b in unit}
+    better = lambda a, t, b: s[a, b] > s[a, t] + 1e-12 or (abs(s[a, b] - s[a, t]) <= 1e-12 and b < t)
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert {x["query_id"]: x["rank"] for x in ranking.ranks(df, df).collect()} == {a: 1 + sum(better(a, a, b) for b in unit if b != a) for a in unit}
+    truth = [(a, b) for a in range(0, 60, 4) for b in range(60) if a != b and a % 3 == b % 3]
+    seen = []
+    real = ranking.met
+    monkeypatch.setattr(ranking, "met", lambda left, *rest, **more: seen.append((left.where("v IS NOT NULL").count(), left.columns)) or real(left, *rest, **more))
+    got = ranking.true_ranks(df.where("id % 4 = 0"), spark.createDataFrame(truth, "query_id long, id long"), df).collect()
+    assert {(x["query_id"], x["id"]): x["rank"] for x in got} == {(a, t): 1 + sum(better(a, t, b) for b in unit if b not in (a, t)) for a, t in truth}
+    assert seen == [(15, ["id", "true_id", "truth", "v"])]
