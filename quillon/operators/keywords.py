@@ -1,7 +1,8 @@
 """Keyword search by BM25 over a stored inverted index, and its fusion with other rankings.
 
 A word is a run of letters and digits, in lower case. The index holds a posting (term, id, tf, long) for every word of every document
-and a row (term, df, parts) for every term, sorted by term, so that a search reads the row groups of its terms. A term
+and a row (term, df, parts) for every term. A file has all postings of its documents, sorted by term, so that a search reads the row groups of its
+terms and sums a document's score where it reads it. Where the queries hold more than SENT words, a term
 of more than PART postings has several parts, and queries meet each part on its own, so no frequent word is one task. Documents without a
 word, and null texts, are no documents here; rows of one id are one document. Scores are rounded to 6 digits before they
 are ranked, so that the order of a sum decides nothing; ties go to the smaller id.
@@ -14,11 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .indexes import ranked
 
 WORD = r"[\p{L}\p{N}]+"
 #: Postings of one part of a term.
 PART = 1 << 16
+#: Words of all queries, each with its weight, that are sent to every task; more are met by shuffles.
+SENT = 1 << 18
 
 
 def words(text: Column | str) -> Column:
@@ -27,8 +31,9 @@ def words(text: Column | str) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, id, tf and long (words of the document) of every word of every document."""
-    own = docs.select(F.col(id_col).alias("id"), F.explode(words(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """term, id, tf and long (words of the document) of every word of every document. The texts are dealt by id once; nothing is shuffled after that."""
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").repartition("id")
+    own = dealt.select("id", F.explode(words("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     return own.withColumn("long", F.sum("tf").over(Window.partitionBy("id"))).select("term", "id", "tf", "long")
 
 
@@ -42,7 +47,7 @@ class KeywordIndex:
     def build(cls, docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", part: int = PART) -> KeywordIndex:
         out = cls(docs.sparkSession, folder)
         rows = postings(docs.where(F.col(id_col).isNotNull()), id_col, text)
-        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
+        rows.sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
         terms = out.postings().groupBy("term").agg(F.count("*").alias("df"))
         terms.withColumn("parts", F.ceil(F.col("df") / part).cast("int")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
         whole = out.postings().groupBy("id").agg(F.first("long").alias("long")).agg(F.count("*").alias("n"), F.coalesce(F.sum("long"), F.lit(0)).alias("words"))
@@ -62,11 +67,16 @@ class KeywordIndex:
         n, total = self.spark.read.parquet(f"{self.folder}/whole").first()
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(text))).alias("term"))
         weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        wanted = asked.join(self.terms(), "term").select("query_id", "term", weight.alias("weight"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        wanted = stored(asked.join(self.terms(), "term").select("query_id", "term", weight.alias("weight"), "parts"), "wanted")
         held = self.postings() if among is None else self.postings().join(among.select("id"), "id", "left_semi")
-        parts = held.join(wanted.select("term", "parts").distinct(), "term").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         size = k1 * (1 - b + b * F.col("long") / F.lit(total / n if n else 1.0))
         one = F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + size)
+        if wanted.count() <= SENT:  # a task has all postings of its documents, so what it gives is a row a query and document
+            found = self.postings().join(F.broadcast(wanted.drop("parts")), "term")
+            found = found.groupBy("query_id", "id").agg(F.round(F.sum(one), 6).alias("score"))
+            return found if among is None else found.join(among.select("id"), "id", "left_semi").select("query_id", "id", "score")
+        wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        parts = held.join(wanted.select("term", "parts").distinct(), "term").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         found = parts.join(wanted.drop("parts"), ["term", "part"])
         return found.groupBy("query_id", "id").agg(F.round(F.sum(one), 6).alias("score"))
 

@@ -199,6 +199,24 @@ def test_keywords(spark):
         index.search(asked, 0)
 
 
+def test_keywords_sent_or_shuffled(spark, monkeypatch):
+    """Both ways give the same scores; texts are shuffled once to build, and a file has all postings of its documents."""
+    frame = spark.createDataFrame([(k % 40, f"the word w{k} and w{k % 7}") for k in range(60)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "the w3"), (2, "w5 and w50"), (3, None)], "query_id long, text string")
+    index = keywords.KeywordIndex.build(frame, scratch.folder(spark, "keywords"), part=5)
+    files = index.postings().select("id", F.input_file_name().alias("f")).distinct()
+    assert files.count() == 40
+    one = spark.createDataFrame([(k,) for k in range(0, 40, 3)], "id long")
+    for among in (None, one):
+        sent = {tuple(r) for r in index.scores(asked, among=among).select("query_id", "id", "score").collect()}
+        monkeypatch.setattr(keywords, "SENT", 0)
+        shuffled = {tuple(r) for r in index.scores(asked, among=among).select("query_id", "id", "score").collect()}
+        monkeypatch.undo()
+        assert sent == shuffled and sent
+    plan = keywords.postings(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_fused(spark):
     a = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 9, 1)], "query_id long, id long, rank int")
     b = spark.createDataFrame([(1, 8, 1), (1, 7, 2), (1, 6, 3)], "query_id long, id long, rank int")
