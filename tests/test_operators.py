@@ -149,6 +149,16 @@ def test_combine_blocks(spark):
         assert np.allclose(v, m / (np.linalg.norm(m) or 1))
 
 
+def test_combine_sends_no_row_twice(spark):
+    """However many blocks the sides have, nothing is repeated below a shuffle."""
+    texts = spark.range(150).selectExpr("id AS t", "array(double(id), 1.0) AS v")
+    images = spark.range(1100).selectExpr("id AS i", "array(1.0, double(id)) AS v")
+    got = search.combine(texts, images)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroup" not in plan and "Broadcast" not in plan
+    assert got.select("t", "i").distinct().count() == got.count() == 150 * 1100
+
+
 def test_empty_statistics(spark):
     empty = spark.createDataFrame([], "a string")
     assert quality.text_stats(empty, ["a"]).count() == 0
