@@ -19,6 +19,8 @@ table: no rows. Clashing further columns are not read by digests; sanitise retur
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ WINDOW = 48
 LEAST_SUPPORT, LEAST_SHARE, LEAST_BITS, REMOVE_BITS = 3, 0.5, 4.0, 12.0
 KINDS = ["email", "ip", "card", "phone"]
 TERM = r"\p{L}{3,}"
+#: Disclosing terms that are sent to every task at once.
+LISTED = 1 << 17
 
 # The patterns of the contract, written so that a run of characters is entered at its first one only
 # (or where the last match ended) and never given back; that changes no match but keeps long runs linear.
@@ -139,25 +143,30 @@ def disclosing(docs: DataFrame) -> DataFrame:
 
 
 def revealing(docs: DataFrame) -> DataFrame:
-    """Occurrences of disclosing terms in all texts: doc_id, key (hash of the text) and terms, an array of (kind, start, end, value, bits) in order."""
+    """Occurrences of disclosing terms in all texts, also within base spans: doc_id, key (hash of the text) and terms, an array of (kind, start, end, value,
+    bits) in order. The terms go to every task, LISTED at a time with a pass over docs each; texts stay where they are read."""
     told = stored(disclosing(docs), "told")
+    passes = max(1, -(-told.count() // LISTED))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    forms = rows.select("doc_id", "key", F.explode(_forms()).alias("form"))
-    held = forms.join(told, F.lower("form") == F.col("term")).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("form", "bits")).alias("forms"))
-    held = stored(held, "held")
-    found = _based(rows.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))), "forms").withColumn("own", F.map_from_entries("forms"))
+    forms = rows.select("doc_id", "key", "text", F.explode(_forms()).alias("form"))
     # a form has letters only, so nothing in it is a sign of the pattern; each match is a whole run of letters
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("forms", lambda x: x["form"]), "|"), F.lit(r")(?!\p{L})"))
-    places = F.filter(_found(F.col("text"), pattern), lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    spans = F.transform(places, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("value"), F.col("own")[t["value"]].alias("bits")))
-    return found.select("doc_id", "key", spans.alias("terms")).dropDuplicates(["doc_id", "key"])
+    places = _found(F.col("text"), F.concat(F.lit(r"(?<!\p{L})"), F.col("form"), F.lit(r"(?!\p{L})")))
+    spans = F.transform(places, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("value"), F.col("bits").alias("bits")))
+
+    def held(k: int) -> DataFrame:
+        some = told.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)  # near LISTED rows
+        return forms.join(F.broadcast(some), F.lower("form") == F.col("term")).select("doc_id", "key", spans.alias("own"))
+
+    every = reduce(DataFrame.union, [held(k) for k in range(passes)])
+    return every.groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_set("own"))).alias("terms"))  # the terms of one text
 
 
 def _with_terms(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (doc_id, key, ...) with terms: array of (kind, start, end, value, bits) in order."""
+    """rows (doc_id, key, base, ...) with terms outside base spans: array of (kind, start, end, value, bits) in order."""
     held = stored(revealing(docs), "terms").withColumnsRenamed({"doc_id": "d", "key": "k"})
     joined = rows.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
-    return joined.withColumn("terms", F.coalesce("terms", F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int,value:string,bits:double>>)")))
+    outside = F.filter("terms", lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    return joined.withColumn("terms", F.coalesce(outside, F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int,value:string,bits:double>>)")))
 
 
 def _line(spans: Column) -> Column:

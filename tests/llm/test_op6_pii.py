@@ -119,3 +119,25 @@ def test_odd_rows(spark):
     got = op6.digests(docs).collect()
     assert len(got) == docs.count()
     assert all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
+
+
+def outputs(plan):
+    """Columns that each exchange of a plan sends."""
+    own = [plan.output().mkString(" ")] if plan.nodeName() in ("Exchange", "BroadcastExchange") else []
+    return own + [x for k in range(plan.children().size()) for x in outputs(plan.children().apply(k))]
+
+
+def test_texts_are_not_sent(spark, monkeypatch):
+    """At a size where no side is small enough to be sent out by itself, texts stay where they are read; terms in several passes give the same."""
+    docs = spark.createDataFrame(corpus() + [(None, "Zorblatt"), (None, "Zorblatt"), (400, "a Zorblatt, zorblatt")], "doc_id long, text string")
+    want = sorted(op6.digests(docs).collect(), key=str)
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        sent = outputs(op6.revealing(docs)._jdf.queryExecution().executedPlan())
+        assert len(sent) > 1 and not any("text" in x for x in sent), sent
+        monkeypatch.setattr(op6, "LISTED", 1, raising=False)
+        assert sorted(op6.digests(docs).collect(), key=str) == want
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
