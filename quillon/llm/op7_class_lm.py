@@ -44,7 +44,7 @@ MIX = 0.9
 END = np.uint64(0x1E4D)
 #: Rows a task holds before it passes their counts on.
 HELD = 1 << 20
-#: Pairs in a file of contexts (some 20 MB, one row group, so that it isn't split), and rows looked at in one step.
+#: Pairs in a file of contexts (some 20 MB), and pairs or rows looked at in one step.
 PAIRS, RUN = 1 << 21, 1 << 18
 
 
@@ -130,17 +130,43 @@ def _pairs(shared):
     return lambda batches: _counted(keys(batches), ("pair", "n"))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on: small numbers compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _whole(planes: pa.Scalar, kind: type) -> np.ndarray:
+    flat = np.frombuffer(planes.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
+CONTEXT_ROWS = "items binary, sizes binary, contexts binary, counts binary"
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of the items of a task, in the order of the items: context is an item after it, or 1 << 20 | item before it."""
+    """The contexts of the items of a task, near RUN of them a row, all of an item in one row: distinct items, how many contexts each has, the
+    contexts and their counts. context is an item after it, or 1 << 20 | item before it."""
     got = [tuple(b.column(c).to_numpy() for c in ("item", "context", "n")) for b in batches if b.num_rows]
     if got:
         rows = [np.concatenate(x) for x in zip(*got, strict=True)]
         order = np.argsort(rows[0], kind="stable")
-        for k in range(0, len(order), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[order[k : k + (1 << 16)]]) for x in rows], names=["item", "context", "n"])
-
-
-CONTEXT_ROWS = "item int, context int, n long"
+        own, first = np.unique(rows[0][order], return_index=True)
+        first = np.append(first, len(order))
+        at = 0
+        while at < len(own):
+            end = max(at + 1, int(np.searchsorted(first, first[at] + RUN, "right")) - 1)
+            some = order[first[at] : first[end]]
+            parts = own[at:end].astype(np.int32), np.diff(first[at : end + 1]).astype(np.int32), rows[1][some].astype(np.int32), rows[2][some].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([_planes(x)], pa.binary()) for x in parts], names=["items", "sizes", "contexts", "counts"])
+            at = end
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of _gather: distinct items, the number of each context's among them, contexts and counts."""
+    for b in batches:
+        for k in range(b.num_rows):
+            item, sizes, context, n = (_whole(b.column(c)[k], t) for c, t in (("items", np.int32), ("sizes", np.int32), ("contexts", np.int32), ("counts", np.int64)))
+            yield item, np.repeat(np.arange(len(item)), sizes), context, n
 
 
 def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[np.ndarray, ...]]:
@@ -220,7 +246,7 @@ def _move(shared, turn: int, share: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, steps = shared.value
-        for item, row, context, n in _runs(batches, "item", "context", "n"):
+        for item, row, context, n in _held(batches):
             asked = mix(item.astype(np.uint64) + np.uint64(turn << 32)) % np.uint64(share) == 0 if turn else own[item] == OTHER
             if asked.any():
                 some = asked[row]
@@ -235,10 +261,9 @@ def _steps(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, own = np.zeros(CONTEXTS * CONTEXTS), shared.value
-        for b in batches:
-            item, context, n = (b.column(c).to_numpy() for c in ("item", "context", "n"))
+        for item, row, context, n in _held(batches):
             at = context >= 1 << 20
-            seen += np.bincount(own[context[at] - (1 << 20)].astype(np.int64) * CONTEXTS + own[item[at]], n[at], len(seen))
+            seen += np.bincount(own[context[at] - (1 << 20)].astype(np.int64) * CONTEXTS + own[item[row[at]]], n[at], len(seen))
         cell = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell].astype(np.int64))], names=["cell", "n"])
 

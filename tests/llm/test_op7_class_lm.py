@@ -141,3 +141,19 @@ def test_odd_rows(spark):
     none = odd.documents(spark, empty=True)
     assert op7.score(none, *op7.train(none)).count() == 0
     assert op7.score(docs, *op7.train(none)).count() == docs.count()
+
+
+def test_contexts_are_packed(spark, monkeypatch):
+    """The passes of clustering read a few rows that hold the contexts of many items, not a row each; no item lies in two, and nothing is lost."""
+    monkeypatch.setattr(op7, "RUN", 500)
+    r = np.random.default_rng(3)
+    item, context, n = r.integers(0, 90, 4000, np.int32), r.integers(0, 1 << 21, 4000, np.int32), r.integers(1, 1 << 40, 4000)
+    context[item == 7] = 5  # one item with many
+    item[:700] = 7
+    sent = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 900]) for x in (item, context, n)], names=["item", "context", "n"]) for k in range(0, 4000, 900)]
+    packed = list(op7._gather(iter(sent)))
+    assert 1 < sum(b.num_rows for b in packed) < 20 and not list(op7._gather(iter([sent[0].slice(0, 0)])))
+    held = list(op7._held(iter(packed)))
+    assert sorted(x for own, *_ in held for x in own) == sorted(set(item.tolist()))
+    got = sorted((own[k], c, m) for own, row, context, n in held for k, c, m in zip(row, context, n, strict=True))
+    assert got == sorted(zip(item, context, n, strict=True))
