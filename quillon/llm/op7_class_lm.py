@@ -44,8 +44,8 @@ MIX = 0.9
 END = np.uint64(0x1E4D)
 #: Rows a task holds before it passes their counts on.
 HELD = 1 << 20
-#: Pairs in a file of contexts (some 20 MB), and pairs or rows looked at in one step.
-PAIRS, RUN = 1 << 21, 1 << 18
+#: Pairs in a file of contexts, pairs in a row of it (some 400 KB: large rows cost executors memory), and rows looked at in one step.
+PAIRS, PACKED, RUN = 1 << 20, 1 << 16, 1 << 18
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,33 +131,37 @@ def _pairs(shared):
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """The lowest bytes of all numbers, then the next ones, and so on: small numbers compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Numbers from 0 on: the lowest bytes of all, then the next ones, and so on up to the highest that isn't 0."""
+    wide = max(1, -(-int(x.max()).bit_length() // 8))
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(len(x), 8)[:, :wide].T).tobytes()
 
 
-def _whole(planes: pa.Scalar, kind: type) -> np.ndarray:
-    flat = np.frombuffer(planes.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(flat.T).view(kind).ravel()
+def _whole(planes: pa.Scalar, n: int) -> np.ndarray:
+    flat = np.frombuffer(planes.as_buffer(), np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(flat)] = flat.T
+    return out.view(np.int64).ravel()
 
 
-CONTEXT_ROWS = "items binary, sizes binary, contexts binary, counts binary"
+CONTEXT_ROWS = "n_items int, n_contexts int, items binary, sizes binary, contexts binary, counts binary"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of the items of a task, near RUN of them a row, all of an item in one row: distinct items, how many contexts each has, the
+    """The contexts of the items of a task, near PACKED of them a row, all of an item in one row: distinct items, how many contexts each has, the
     contexts and their counts. context is an item after it, or 1 << 20 | item before it."""
     got = [tuple(b.column(c).to_numpy() for c in ("item", "context", "n")) for b in batches if b.num_rows]
     if got:
         rows = [np.concatenate(x) for x in zip(*got, strict=True)]
         order = np.argsort(rows[0], kind="stable")
-        own, first = np.unique(rows[0][order], return_index=True)
-        first = np.append(first, len(order))
-        at = 0
+        item = rows[0][order]
+        first = np.append(np.flatnonzero(np.append(True, item[1:] != item[:-1])), len(item))
+        own, at = item[first[:-1]], 0
         while at < len(own):
-            end = max(at + 1, int(np.searchsorted(first, first[at] + RUN, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(first, first[at] + PACKED, "right")) - 1)
             some = order[first[at] : first[end]]
-            parts = own[at:end].astype(np.int32), np.diff(first[at : end + 1]).astype(np.int32), rows[1][some].astype(np.int32), rows[2][some].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([_planes(x)], pa.binary()) for x in parts], names=["items", "sizes", "contexts", "counts"])
+            parts = own[at:end], np.diff(first[at : end + 1]), rows[1][some], rows[2][some]
+            sizes = [pa.array([n], pa.int32()) for n in (end - at, len(some))]
+            yield pa.RecordBatch.from_arrays([*sizes, *[pa.array([_planes(x)], pa.binary()) for x in parts]], names=["n_items", "n_contexts", "items", "sizes", "contexts", "counts"])
             at = end
 
 
@@ -165,7 +169,8 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
     """The rows of _gather: distinct items, the number of each context's among them, contexts and counts."""
     for b in batches:
         for k in range(b.num_rows):
-            item, sizes, context, n = (_whole(b.column(c)[k], t) for c, t in (("items", np.int32), ("sizes", np.int32), ("contexts", np.int32), ("counts", np.int64)))
+            few, many = b.column("n_items")[k].as_py(), b.column("n_contexts")[k].as_py()
+            item, sizes, context, n = (_whole(b.column(c)[k], size) for c, size in (("items", few), ("sizes", few), ("contexts", many), ("counts", many)))
             yield item, np.repeat(np.arange(len(item)), sizes), context, n
 
 
@@ -251,7 +256,7 @@ def _move(shared, turn: int, share: int):
             if asked.any():
                 some = asked[row]
                 best = best_classes(item[asked], (np.cumsum(asked) - 1)[row[some]], context[some], n[some].astype(np.float64), own, steps)
-                yield pa.RecordBatch.from_arrays([pa.array(item[asked]), pa.array(best.astype(np.int32))], names=["item", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(item[asked].astype(np.int32)), pa.array(best.astype(np.int32))], names=["item", "class"])
 
     return run
 

@@ -143,11 +143,11 @@ def test_odd_rows(spark):
     assert op7.score(docs, *op7.train(none)).count() == docs.count()
 
 
-def test_contexts_are_packed(spark, monkeypatch):
+def test_contexts_are_packed(monkeypatch):
     """The passes of clustering read a few rows that hold the contexts of many items, not a row each; no item lies in two, and nothing is lost."""
-    monkeypatch.setattr(op7, "RUN", 500)
+    monkeypatch.setattr(op7, "PACKED", 500, raising=False)
     r = np.random.default_rng(3)
-    item, context, n = r.integers(0, 90, 4000, np.int32), r.integers(0, 1 << 21, 4000, np.int32), r.integers(1, 1 << 40, 4000)
+    item, context, n = r.integers(0, 90, 4000).astype(np.int32), r.integers(0, 1 << 21, 4000).astype(np.int32), r.integers(1, 1 << 40, 4000)
     context[item == 7] = 5  # one item with many
     item[:700] = 7
     sent = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 900]) for x in (item, context, n)], names=["item", "context", "n"]) for k in range(0, 4000, 900)]
