@@ -118,7 +118,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by the words and the vector of every document whose id is divisible by 100, both rankings fused by their ranks."""
     asked, rows = _sides(spark, sf)
-    by_word = _index(spark, sf).search(table(spark, sf, "documents").where("doc_id % 100 = 0"), 50, "doc_id")
+    docs = table(spark, sf, "documents")
+    by_word = keywords.search_many(docs, docs.where("doc_id % 100 = 0"), 50, query_id="doc_id")
     return _rounded(keywords.fused([by_word, search.top_k(asked, rows, 50)], 10))
 
 

@@ -217,6 +217,34 @@ def test_keywords_sent_or_shuffled(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_keywords_for_many_queries(spark, monkeypatch):
+    """Blocks of few words, documents and queries give what the index gives: repeated ids, ties, null and wordless texts, frequent and rare words."""
+    r = np.random.default_rng(3)
+    texts = [(k % 170, " ".join(f"w{int(x)}" for x in r.zipf(1.4, int(r.integers(1, 60))) if x < 500)) for k in range(200)]
+    frame = spark.createDataFrame([*texts, (900, None), (901, "..."), (None, "w1"), (902, "w3 w3"), (903, "w3 W3"), (904, " ".join(["w1 w2 w3"] * 200))], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(k, texts[k * 2][1]) for k in range(60)] + [(70, None), (71, "!"), (72, "nowhere"), (73, "w3"), (74, "w4 w3")], "query_id long, text string")
+    index = keywords.KeywordIndex.build(frame, scratch.folder(spark, "keywords"))
+    for name, x in {"BLOCK": 300, "DOCS": 16, "QUERIES": 10, "DENSE": 8, "CELLS": 50}.items():
+        monkeypatch.setattr(keywords, name, x)
+    for k in (4, 1000):
+        want, got = ({tuple(x) for x in df.collect()} for df in (index.search(asked, k), keywords.search_many(frame, asked, k)))
+        assert want == got and len(got) > 4 * 60 - 1
+    blocks = keywords.packed(frame).collect()
+    assert len(blocks) > 10 and sum(len(b["ids"]) // 8 for b in blocks) == frame.where("text rlike '[a-z]' AND doc_id IS NOT NULL").select("doc_id").distinct().count()
+    assert keywords.search_many(frame.limit(0), asked).count() == keywords.search_many(frame, asked.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        keywords.search_many(frame, asked, 0)
+
+
+def test_hybrid_writes_no_pairs(spark, tmp_path):
+    """100 queries and 2,000 documents that all share a word: no stage gives out their 200,000 pairs."""
+    spark.range(2000).selectExpr("id AS doc_id", "concat('the w', id % 50) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = (got := keywords.search_many(frame, frame.where("doc_id % 20 = 0"), 5, query_id="doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "HashAggregate" not in plan and "Generate" not in plan
+    assert got.count() == 500
+
+
 def test_fused(spark):
     a = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 9, 1)], "query_id long, id long, rank int")
     b = spark.createDataFrame([(1, 8, 1), (1, 7, 2), (1, 6, 3)], "query_id long, id long, rank int")
