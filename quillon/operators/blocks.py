@@ -57,12 +57,12 @@ def crossed(left: DataFrame, right: DataFrame, work: Callable[[pa.RecordBatch, p
 
 
 def swept(items: DataFrame, queries: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, many: int, whole: bool = False) -> DataFrame:
-    """The rows that work makes of a stream of pairs of a packed block of items and one of the `many` packed blocks of queries (both stored, a row a block).
+    """The rows that work makes of a stream of pairs of a packed block of items and one of the `many` packed blocks of queries (both stored, a row a block; q_block: its number).
     A task holds its blocks of queries while the items' files stream past them, so nothing is shuffled but the queries, once, and work may keep what it
     likes to keep of the items so far. whole: every task meets all items; otherwise few queries have the items dealt into shares, so that all cores have a task."""
     cores = items.sparkSession.sparkContext.defaultParallelism
     shares = 1 if whole else max(1, -(-2 * cores // many))
-    return items.coalesce(shares).hint("shuffle_replicate_nl").crossJoin(queries.repartition(many)).mapInArrow(work, schema)
+    return items.coalesce(shares).hint("shuffle_replicate_nl").crossJoin(queries.repartitionByRange(many, "q_block")).mapInArrow(work, schema)
 
 
 def met_by(on: str, left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, left_rows: int = 1024, right_rows: int = 1 << 14, key: str = "id") -> DataFrame:

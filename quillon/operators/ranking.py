@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.scratch import stored
-from .blocks import met
+from .blocks import met, swept
 from .search import CELLS, _fit, _matrix
 
 
@@ -17,6 +19,8 @@ from .search import CELLS, _fit, _matrix
 ROWS, ITEMS = 256, 1024
 #: Pairs of a query and a true item in one block.
 PAIRS = 1 << 22
+#: Scores of its queries with all items that a task holds, as long as those of one query don't exceed it.
+HELD = 1 << 24
 #: Scores this close are ties, which go to the smaller id.
 TIE = 1e-12
 
@@ -91,7 +95,79 @@ def true_ranks(queries: DataFrame, truth: DataFrame, items: DataFrame) -> DataFr
     return counts.groupBy("query_id", "id").agg((F.sum("better") + 1).alias("rank"))
 
 
-def _unit(lists: pa.ChunkedArray) -> np.ndarray:
+def label_truth(queries: DataFrame, items: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """multi_truth over true_ranks where the true items of a query are those of its label (both: id, v, label), without a row a pair: query_id, recall@K and mrr.
+
+    Packed blocks of items stream past the queries of a task, which keeps 8 bytes an item and query and gives a row a query. An item without a
+    vector is true but found by nothing; of items that share an id each is an item, and true if one of them has the label, once for each that has."""
+    def rows(df: DataFrame) -> DataFrame:
+        fit = F.coalesce(V.is_finite("v"), F.lit(False))
+        return df.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.when(fit, V.doubles("v")).alias("v"))
+
+    names, kinds = ["ids", "labels", "known", "fit", "vectors"], [np.int64, np.int64, bool, bool, np.float64]
+
+    def blobs(t: pa.Table | pa.RecordBatch) -> list[pa.Array]:
+        label, v = t.column("label"), t.column("v")
+        held = [t.column("id"), label.fill_null(0), label.is_valid(), v.is_valid()]
+        plain = [x.to_numpy() if isinstance(x, pa.ChunkedArray) else x.to_numpy(zero_copy_only=False) for x in held]
+        return [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (*plain, _unit(v.drop_null()))]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ITEMS):
+                yield pa.RecordBatch.from_arrays(blobs(b.slice(at, ITEMS)), names=names)
+
+    def bound(t: pa.Table) -> pa.Table:
+        return pa.table([t.column("_q")[:1], *blobs(t)], names=["q_block", *(f"q_{c}" for c in names)])
+
+    def read(batch: pa.RecordBatch, r: int, before: str = "") -> list[np.ndarray]:
+        ids, labels, known, fit, flat = (np.frombuffer(batch.column(before + c)[r].as_py(), kind) for c, kind in zip(names, kinds, strict=True))
+        return [ids, labels, known, fit, flat.reshape(fit.sum(), -1) if fit.any() else np.zeros((0, 0))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[np.ndarray]] = {}
+        seen: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for b in batches:
+            for r in range(b.num_rows):
+                key = b.column("q_block")[r].as_py()
+                if key not in asked:
+                    asked[key], seen[key] = read(b, r, "q_"), []
+                ids, labels, known, fit, c = read(b, r)
+                q = asked[key][4]
+                seen[key].append((ids, labels, known, fit, q @ c.T if len(q) and len(c) else np.zeros((len(q), len(c)))))
+        for key, (q_ids, q_labels, q_known, q_fit, _) in asked.items():
+            ids, labels, known, fit = (np.concatenate([x[n] for x in seen[key]]) for n in range(4))
+            own, place = np.unique(ids, return_inverse=True)
+            found, out = np.cumsum(q_fit) - 1, []
+            for k, i in enumerate(q_ids):
+                times = (known & (labels == q_labels[k]) & (ids != i) & q_known[k]).astype(np.int64)
+                if len(own) < len(ids):
+                    times = np.bincount(place, times, len(own)).astype(np.int64)[place]
+                others = ids[fit] != i
+                true = times[fit][others]
+                got = np.flatnonzero(true)
+                rank = np.zeros(0)
+                if q_fit[k]:
+                    s = np.concatenate([x[4][found[k]] for x in seen[key]])[others]
+                    order = np.argsort(s)
+                    high, low = (np.searchsorted(s[order], s[got] + d, side) for d, side in ((TIE, "right"), (-TIE, "left")))
+                    rank = 1 + len(s) - high + _smaller(ids[fit][others][order], low, high, ids[fit][others][got])
+                n = true[got][: len(rank)]
+                out.append([i, times.sum(), (n / rank).sum(), *(n[rank <= at].sum() for at in ks)])
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], pa.float64() if n == 2 else pa.int64()) for n in range(3 + len(ks))], names=given)
+
+    given = ["query_id", "n", "gain", *(f"hits_{k}" for k in ks)]
+    held, own = stored(rows(items).mapInArrow(pack, ", ".join(f"{c} binary" for c in names)), "items"), rows(queries)
+    many, cores = own.count(), items.sparkSession.sparkContext.defaultParallelism
+    few = max(1, min(256, HELD // max(1, items.count())))
+    blocks = max(1, -(-many // few), min(many, 2 * cores))
+    packed = own.withColumn("_q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("_q").applyInArrow(bound, "q_block int, " + ", ".join(f"q_{c} binary" for c in names))
+    counts = swept(held, stored(packed, "asked"), run, ", ".join(f"{c} {'double' if c == 'gain' else 'long'}" for c in given), blocks, whole=True)
+    whole = counts.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in given[1:]]).where("n > 0")
+    return whole.select("query_id", *[(F.col(f"hits_{k}") / F.col("n")).alias(f"recall_{k}") for k in ks], (F.col("gain") / F.col("n")).alias("mrr"))
+
+
+def _unit(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
     m = _matrix(lists)
     size = np.sqrt((m * m).sum(1, keepdims=True))
     return m / np.where(size > 0, size, 1)

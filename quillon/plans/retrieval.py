@@ -172,9 +172,8 @@ SELECT query_id, """
 def retrieval_multi_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Several true items a query, those of its label, each by its rank among all rows."""
     queries, rows = _sides(spark, sf)
-    truth = queries.select(F.col("vec_id").alias("query_id"), "label").join(rows.select(F.col("vec_id").alias("id"), "label"), "label").where("id <> query_id").select("query_id", "id")
-    side = lambda df: df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return _rounded(ranking.multi_truth(ranking.true_ranks(side(queries), truth, side(rows)), truth))
+    side = lambda df: df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return _rounded(ranking.label_truth(side(queries), side(rows)))
 
 
 @plans.query(_PAIRS.format(score=_COS, where="AND q.vec_id <> c.vec_id") + "SELECT q.label = c.label AS is_match, round(avg(r.score), 4) AS avg_score, count(*) AS n FROM r JOIN v q ON q.vec_id = r.query_id JOIN v c ON c.vec_id = r.id WHERE rank <= 10 GROUP BY 1")

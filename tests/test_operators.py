@@ -123,6 +123,37 @@ def test_multi_truth(spark):
     assert (got["recall_1"], got["recall_2"], got["recall_50"], got["mrr"]) == (0.0, 0.5, None, 0.25)
 
 
+def test_label_truth(spark, monkeypatch):
+    """Ranks of all items of a label as true_ranks gives them, in blocks of few items and queries: ties, zero and null vectors, null labels."""
+    r = np.random.default_rng(8)
+    v = r.integers(-2, 3, (300, 3)).astype(float).tolist()
+    rows = [(k, None if k % 41 == 5 else x if k % 37 else [0.0, 0.0, 0.0], None if k % 29 == 0 else int(r.integers(0, 4))) for k, x in enumerate(v)] + [(300, v[7], 9)]
+    items = spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(3)
+    asked = items.where("id % 10 IN (0, 5)")
+    truth = asked.select(F.col("id").alias("query_id"), "label").join(items, "label").where("id <> query_id").select("query_id", "id")
+    want = {x[0]: x[1:] for x in ranking.multi_truth(ranking.true_ranks(asked.select("id", "v"), truth, items.select("id", "v")), truth).collect()}
+    for held, block in ((ranking.HELD, ranking.ITEMS), (700, 7)):
+        monkeypatch.setattr(ranking, "HELD", held)
+        monkeypatch.setattr(ranking, "ITEMS", block)
+        got = ranking.label_truth(asked, items)
+        rows_ = {x["query_id"]: x[1:] for x in got.collect()}
+        assert set(rows_) == set(want) and all(np.allclose(rows_[q], want[q], atol=1e-12) for q in want) and 300 not in rows_
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "CoGroup" not in plan and "Generate" not in plan
+    assert ranking.label_truth(asked.limit(0), items).count() == ranking.label_truth(asked, items.limit(0)).count() == 0
+    twice = ranking.label_truth(asked, items.union(items.where("id = 1"))).where("query_id = 10").count()
+    assert twice == 1
+
+
+def test_multi_truth_makes_no_pairs(spark, monkeypatch, tmp_path):
+    """The query takes no join of queries and items by label."""
+    from quillon.plans import retrieval
+
+    spark.range(400).selectExpr("id AS vec_id", "array(float(id % 7), 1f) AS embedding", "int(id % 2) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(ranking, "true_ranks", None)
+    assert retrieval.retrieval_multi_truth(spark, str(tmp_path)).count() == 4
+
+
 def test_rerank_puts_unscored_last(spark):
     found = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, id long, rank int")
     scores = spark.createDataFrame([(1, 12, -5.0)], "query_id long, id long, score double")
